@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import token_counts, toxicity
+from . import exact_dedup, mixing, token_counts, toxicity, warc
 
-_MODULES = (token_counts, toxicity)
+_MODULES = (token_counts, toxicity, exact_dedup, warc, mixing)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: q for m in _MODULES for name, q in m.SQL.items()}
