@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, token_counts, toxicity, warc
+from . import bpe, exact_dedup, html_text, mixing, quality, token_counts, toxicity, warc
 
-_MODULES = (token_counts, toxicity, exact_dedup, warc, mixing)
+_MODULES = (token_counts, toxicity, exact_dedup, warc, bpe, quality, mixing, html_text)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: q for m in _MODULES for name, q in m.SQL.items()}
