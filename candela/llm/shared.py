@@ -62,3 +62,11 @@ def apply_rows(df: DataFrame, inputs: dict[str, Column], function, schema: str)
 def own_column(df: DataFrame, name: str) -> Column:
     """Column of df; null where df has none of that name (case is ignored, as in Spark)."""
     return df[name] if name.lower() in [c.lower() for c in df.columns] else F.lit(None)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written as a Parquet table in the shared folder and read again; cuts the lineage and lets later reads prune columns."""
+    spark = df.sparkSession
+    at = scratch(spark, name)
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
