@@ -1,27 +1,49 @@
-"""The corpus pipeline: STAGES applied in order to documents."""
+"""The corpus pipeline: STAGES applied in order to documents, each over all rows that the one before kept.
+
+The first four stages return the columns of documents; the last returns doc_id, lang, source and the encoded text. Each
+stage's rows are written to the shared folder and read again, so a lost executor costs at most one stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candela.llm import shared, toxicity
+from candela.llm import bpe, exact_dedup, mixing, near_dedup, shared, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, fitted on the labelled rows of sf_dir, doesn't reject."""
+    """Documents that the toxicity model, fitted on the labelled ones among docs, doesn't reject."""
     weights = toxicity.train(docs, shared.table(spark, sf_dir, "labels"))
     return toxicity.score(docs, weights).where("not toxic").select(*docs.columns)
 
 
-STAGES = [("toxicity", drop_toxic)]
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of those with the same text, the one with the smallest doc_id."""
+    return exact_dedup.exact_dedup(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest doc_id."""
+    return near_dedup.near_dedup(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the blocks that apportionment among the sources chooses."""
+    return mixing.mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, tokens and n_tokens."""
+    return bpe.encode(docs, carry=["doc_id", "lang", "source"]).select("row.*", "tokens", "n_tokens")
+
+
+STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("near dedup", drop_near_copies), ("mixing", mix_sources), ("bpe", encode)]
+#: The first stage's model and the last stage's merges are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written to the shared folder and read again."""
     docs = shared.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        at = shared.scratch(spark, f"stage-{name.replace(' ', '-')}")
-        stage(spark, docs, sf_dir).write.parquet(at)
-        docs = spark.read.parquet(at)
+        docs = shared.written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
     return STAGES[-1][1](spark, docs, sf_dir)
