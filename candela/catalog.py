@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .plans import bar_queries
+
+_MODULES = (bar_queries,)
+
+QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+SQL: dict[str, str] = {name: q for m in _MODULES for name, q in m.SQL.items()}
 
 
 def entry(spark, sf_dir: str):

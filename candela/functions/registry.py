@@ -78,8 +78,8 @@ def spark_sql(e: str) -> str:
     e = re.sub(r"LIST\((\w+)\)", r"collect_list(\1)", e)
     e = re.sub(r"COUNT_BELOW\((\w+), (\w+)\)", r"size(filter(\1, v -> v < \2))", e)
     e = re.sub(r"COUNT_EQUAL\((\w+), (\w+)\)", r"size(filter(\1, v -> v = \2))", e)
-    e = re.sub(r"LOCAL\((\w+), ('[\w/]+')\)", r"cast(from_utc_timestamp(cast(\1 as timestamp), \2) as timestamp_ntz)", e)
-    e = re.sub(r"UTC\((\w+), ('[\w/]+')\)", r"cast(to_utc_timestamp(cast(\1 as timestamp), \2) as timestamp_ntz)", e)
+    e = re.sub(r"LOCAL\((\w+), ('[\w/]+')\)", r"convert_timezone('UTC', \2, \1)", e)
+    e = re.sub(r"UTC\((\w+), ('[\w/]+')\)", r"convert_timezone(\2, 'UTC', \1)", e)
     return re.sub(r"SECONDS\((\w+)\)", r"unix_micros(cast(\1 as timestamp)) / 1000000.0D", e)
 
 

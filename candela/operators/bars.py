@@ -19,7 +19,7 @@ def pattern(name: str, family: str, hint: int, condition: str | None = None) ->
 
 
 # shapes of one bar
-define("bar_idx", f"row_number() OVER ({W}) - 1")
+define("bar_idx", f"CAST(row_number() OVER ({W}) AS BIGINT) - 1")
 define("day", "CAST(ts AS DATE)")
 define("body", "abs(close - open)")
 define("bar_range", "nullif(high - low, 0)")
@@ -116,7 +116,7 @@ define("autocorr_50", f"({rolling('avg', 'return_pair', 50)} - ({rolling('avg',
 for _x in ("volume", "atr"):
     _f = f"({W} ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)"
     define(f"{_x}_list_100", f"CASE WHEN count({_x}) OVER {_f} = 100 THEN LIST({_x}) OVER {_f} END")
-    define(f"{_x}_percentile", f"CASE WHEN {_x}_list_100 IS NOT NULL THEN (COUNT_BELOW({_x}_list_100, {_x}) + (COUNT_EQUAL({_x}_list_100, {_x}) + 1) / 2.0) / 100.0 END")
+    define(f"{_x}_percentile", f"CASE WHEN {_x}_list_100 IS NOT NULL THEN (COUNT_BELOW({_x}_list_100, {_x}) + CAST(COUNT_EQUAL({_x}_list_100, {_x}) + 1 AS DOUBLE) / 2) / 100 END")
 _f = f"({W} ROWS BETWEEN 200 PRECEDING AND 1 PRECEDING)"
 define("return_quantile_90", f"CASE WHEN count(return_1) OVER {_f} >= 30 THEN QUANTILE(return_1, 0.9) OVER {_f} END")
 define("return_above_quantile", is_true("return_1 > return_quantile_90"))
@@ -136,7 +136,7 @@ for _x, _agg in (("high", "max"), ("low", "min")):
     define(f"swing_{_x}_at", f"CASE WHEN swing_{_x}_confirmed IS NOT NULL THEN coalesce(swing_{_x}, -1) END")
     define(f"swing_{_x}_prior_raw", known_before(f"swing_{_x}_at"))
     define(f"swing_{_x}_prior", f"nullif(swing_{_x}_prior_raw, -1)")
-define("round_level", "floor((high + low) / 2 / 50 + 0.5) * 50")
+define("round_level", "CAST(floor((high + low) / 2 / 50 + 0.5) AS DOUBLE) * 50")
 _G = "(PARTITION BY symbol, timeframe, day ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
 define("day_high", f"max(high) OVER {_G}")
 define("day_low", f"min(low) OVER {_G}")
@@ -147,9 +147,9 @@ for _x in ("high", "low", "close"):
     define(f"day_{_x}_1", lag(f"day_{_x}"))
     define(f"day_{_x}_head", f"CASE WHEN day_start THEN day_{_x}_1 END")
     define(f"prior_day_{_x}", f"first_value(day_{_x}_head) OVER (PARTITION BY symbol, timeframe, day ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
-define("pivot", "(prior_day_high + prior_day_low + prior_day_close) / 3")
-define("pivot_r1", "2 * pivot - prior_day_low")
-define("pivot_s1", "2 * pivot - prior_day_high")
+define("pivot_pp", "(prior_day_high + prior_day_low + prior_day_close) / 3")
+define("pivot_r1", "2 * pivot_pp - prior_day_low")
+define("pivot_s1", "2 * pivot_pp - prior_day_high")
 
 # sessions: boundaries in local time; a boundary belongs to the first bar at or after it
 SESSIONS = {"sydney": ("Australia/Sydney", 540, 1020), "tokyo": ("Asia/Tokyo", 540, 1020), "london": ("Europe/London", 480, 990), "new_york": ("America/New_York", 480, 1020)}

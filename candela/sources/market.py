@@ -68,7 +68,7 @@ def candles_sql(timeframes: tuple[str, ...] = ("1h",), symbols: tuple[str, ...]
 def daily_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily candles of unit prices of shipped lines, the longest series; equal dates are ordered by order and line."""
     l = spark.read.parquet(f"{sf_dir}/lineitem.parquet")  # noqa: E741
-    price = F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2)
+    price = F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100 + 0.5) / 100
     order = F.struct("l_orderkey", "l_linenumber")
     g = l.where("l_quantity > 0").withColumn("p", price).groupBy(F.date_trunc("day", "l_shipdate").cast("timestamp_ntz").alias("ts")).agg(
         F.min_by("p", order).alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", order).alias("close"), F.sum("l_quantity").alias("volume"), F.count(F.lit(1)).alias("tick_count")
@@ -79,7 +79,7 @@ def daily_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
 DAILY_SQL = """
 SELECT 'SHIP' AS symbol, '1d' AS timeframe, date_trunc('day', l_shipdate)::TIMESTAMP AS ts, arg_min(p, (l_orderkey, l_linenumber)) AS open, max(p) AS high, min(p) AS low, arg_max(p, (l_orderkey, l_linenumber)) AS close,
        sum(l_quantity) AS volume, NULL::DOUBLE AS ask_volume, NULL::DOUBLE AS bid_volume, count(*) AS tick_count, 'lines' AS source
-FROM (SELECT *, round(l_extendedprice / l_quantity, 2) AS p FROM lineitem WHERE l_quantity > 0) GROUP BY 3
+FROM (SELECT *, floor(l_extendedprice / l_quantity * 100 + 0.5) / 100 AS p FROM lineitem WHERE l_quantity > 0) GROUP BY 3
 """
 
 #: Macro series stand-ins by order priority.
