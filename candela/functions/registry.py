@@ -80,6 +80,7 @@ def spark_sql(e: str) -> str:
     e = re.sub(r"COUNT_EQUAL\((\w+), (\w+)\)", r"size(filter(\1, v -> v = \2))", e)
     e = re.sub(r"LOCAL\((\w+), ('[\w/]+')\)", r"convert_timezone('UTC', \2, \1)", e)
     e = re.sub(r"UTC\((\w+), ('[\w/]+')\)", r"convert_timezone(\2, 'UTC', \1)", e)
+    e = re.sub(r"WEEKDAY\((\w+)\)", r"weekday(\1)", e)
     return re.sub(r"SECONDS\((\w+)\)", r"unix_micros(cast(\1 as timestamp)) / 1000000.0D", e)
 
 
@@ -93,6 +94,7 @@ def duck_sql(e: str) -> str:
     e = re.sub(r"LOCAL\((\w+), ('[\w/]+')\)", r"timezone(\2, timezone('UTC', \1))", e)
     e = re.sub(r"UTC\((\w+), ('[\w/]+')\)", r"timezone('UTC', timezone(\2, \1))", e)
     e = re.sub(r"SECONDS\((\w+)\)", r"epoch_us(\1) / 1000000.0", e)
+    e = re.sub(r"WEEKDAY\((\w+)\)", r"((dayofweek(\1) + 6) % 7)", e)
     return _EWM.sub(rf"list_reduce(list(\1) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), lambda a, b: CASE WHEN a IS NULL THEN b ELSE a * (1 - (\2)::DOUBLE) + b * (\2)::DOUBLE END)", e)
 
 

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 Z = 1.96
 
@@ -43,7 +44,7 @@ def binomial_tail(wins: int, n: int, p0: float) -> float:
     return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _binomial(wins: pd.Series, n: pd.Series, p0: pd.Series) -> pd.Series:
     return pd.Series([binomial_tail(int(a), int(b), float(p)) for a, b, p in zip(wins, n, p0)])
 
@@ -53,7 +54,7 @@ def binomial_p(wins: Column, n: Column, p0: float = 0.6) -> Column:
     return _binomial(wins, n, F.lit(p0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda x: None if x is None or math.isnan(x) else math.erfc(abs(x) / math.sqrt(2)))
 

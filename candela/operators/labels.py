@@ -37,7 +37,7 @@ def labels_sql(base: str, ratios: tuple[float, ...] = (RR,), spread: float = SPR
     """The same by a range join."""
     sides = ", ".join(f"({d}, {float(r)}::DOUBLE)" for d in (1, -1) for r in ratios)
     return f"""
-WITH b AS ({sql(base, ["open", "high", "low", "close", "bar_idx", "atr"])}),
+WITH b AS ({sql(base, ["bar_idx", "atr"], ("symbol", "timeframe", "ts", "open", "high", "low"))}),
 t AS (SELECT b.symbol, b.timeframe, b.ts, b.bar_idx, direction, rr, n.open AS entry, n.open - direction * 1.5 * b.atr AS stop, n.open + direction * rr * 1.5 * b.atr AS target, b.atr * 1.5 AS risk
       FROM b JOIN b n ON n.symbol = b.symbol AND n.timeframe = b.timeframe AND n.bar_idx = b.bar_idx + 1 CROSS JOIN (VALUES {sides}) s(direction, rr) WHERE b.atr > 0),
 h AS (SELECT t.symbol, t.timeframe, t.bar_idx, t.direction, t.rr, f.bar_idx - t.bar_idx - 1 AS k,
