@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from .plans import bar_queries, journal_queries, mining_queries
+from .plans import bar_queries, discovery_queries, journal_queries, mining_queries
 
-_MODULES = (bar_queries, mining_queries, journal_queries)
+_MODULES = (bar_queries, mining_queries, journal_queries, discovery_queries)
 
 QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL: dict[str, str] = {name: q for m in _MODULES for name, q in m.SQL.items()}
 
 
 def entry(spark, sf_dir: str):
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """Graded statistics of every pattern and direction."""
+    return QUERIES["trade_summary_oos"](spark, sf_dir)

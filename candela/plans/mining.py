@@ -137,9 +137,12 @@ def reward_grid(t: DataFrame) -> DataFrame:
     return ok.groupBy(*GROUP).agg(F.max_by("rr", F.struct("net", -F.col("rr"))).alias("best_rr"), F.max("net").alias("best_net_r"), F.count(F.lit(1)).alias("tiers"))
 
 
-def era_scores(t: DataFrame, eras: int = 4, least: int = 20) -> DataFrame:
+def era_scores(t: DataFrame, eras: int = 4, least: int = 20, sizes: DataFrame | None = None) -> DataFrame:
     """Wilson lower bound per era of the discovery part (first three quarters of the bars), and the worst; an era below ``least`` resolved trades scores 0."""
-    size = F.max("bar_idx").over(Window.partitionBy("symbol", "timeframe")) + 1
+    if sizes is not None:  # symbol, timeframe, n_bars; else the last bar of any trade ends the series
+        t, size = t.join(F.broadcast(sizes), ["symbol", "timeframe"]), F.col("n_bars")
+    else:
+        size = F.max("bar_idx").over(Window.partitionBy("symbol", "timeframe")) + 1
     t = t.withColumn("end", F.floor(size * 0.75)).where("bar_idx < end").withColumn("era", F.least(F.lit(eras - 1), F.floor(F.col("bar_idx") * eras / F.col("end"))).cast("int"))
     done, won = F.count_if(F.col("outcome") != "unresolved"), F.count_if(F.col("outcome") == "win")
     per = t.groupBy(*GROUP, "era").agg(done.alias("resolved"), won.alias("wins")).withColumn("score", F.when(F.col("resolved") < least, 0.0).otherwise(stats.wilson_lower(F.col("wins"), F.col("resolved"))))
