@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import bar_queries, discovery_queries, journal_queries, mining_queries
+from .plans import bar_queries, discovery_queries, journal_queries, live_queries, mining_queries
 
-_MODULES = (bar_queries, mining_queries, journal_queries, discovery_queries)
+_MODULES = (bar_queries, mining_queries, journal_queries, discovery_queries, live_queries)
 
 QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL: dict[str, str] = {name: q for m in _MODULES for name, q in m.SQL.items()}

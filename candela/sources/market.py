@@ -13,16 +13,19 @@ TIMEFRAMES = {"1min": 1, "5min": 5, "15min": 15, "1h": 60, "4h": 240, "1d": 1440
 CANDLE = ["symbol", "timeframe", "ts", "open", "high", "low", "close", "volume", "ask_volume", "bid_volume", "tick_count", "source"]
 
 
-def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ticks of symbol ALL and of one symbol per event type: symbol, ts, ask, bid, ask_volume, bid_volume, mid."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+def ticks_of(events: DataFrame) -> DataFrame:
+    """Ticks of symbol ALL and of one symbol per event type: symbol, ts, ask, bid, ask_volume, bid_volume, mid. Without a time or value there is none."""
     k = F.get_json_object("props", "$.k").cast("double")
-    return e.where("ts is not null and value is not null").select(
+    return events.where("ts is not null and value is not null").select(
         F.explode(F.array(F.lit("ALL"), "event_type")).alias("symbol"), "ts", (F.col("value") + 0.05).alias("ask"), (F.col("value") - 0.05).alias("bid"),
         k.alias("ask_volume"), (F.lit(100.0) - k).alias("bid_volume"), F.col("value").alias("mid"),
     )
 
 
+def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ticks_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
 TICKS_SQL = """
 SELECT unnest(['ALL', event_type]) AS symbol, ts, value + 0.05 AS ask, value - 0.05 AS bid, CAST(json_extract(props, '$.k') AS DOUBLE) AS ask_volume,
        100.0 - CAST(json_extract(props, '$.k') AS DOUBLE) AS bid_volume, value AS mid FROM events WHERE ts IS NOT NULL AND value IS NOT NULL
