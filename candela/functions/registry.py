@@ -137,8 +137,15 @@ def ewm(df: DataFrame, columns: dict[str, tuple[str, float]]) -> DataFrame:
 
 
 def resolve(df: DataFrame, names: Iterable[str]) -> DataFrame:
-    """df with the named columns and all that they need."""
-    for level in levels(names, df.columns):
+    """df with the named columns and all that they need.
+
+    The series are spread by a fixed number of partitions: there is much work for few bytes in a series, so adaptive
+    execution would put all of them in one task. All windows and recursive means keep this partitioning.
+    """
+    steps = levels(names, df.columns)
+    if any("OVER (" in EXPRESSIONS[n] or EXPRESSIONS[n].startswith("EWM") for level in steps for n in level):
+        df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *SERIES)
+    for level in steps:
         means = {n: EXPRESSIONS[n] for n in level if EXPRESSIONS[n].startswith("EWM")}
         plain = {n: F.expr(spark_sql(EXPRESSIONS[n])) for n in level if n not in means}
         if plain:

@@ -10,7 +10,7 @@ from ..functions.registry import resolve, select, sql
 from ..operators import calendar as C
 from ..operators import features as X
 from ..operators.labels import labels_sql, trade_labels
-from ..sources import market
+from ..sources import market, scratch
 from . import mining as M
 from .common import FINE, bars, bars_sql, rounded, rounded_sql
 
@@ -58,9 +58,14 @@ _query("trade_labels_grid", lambda s, d: trade_labels(bars(s, d), GRID).groupBy(
 
 
 # fired patterns and pairs
-def flags(spark, d) -> DataFrame:
+def stored_bars(spark, d) -> DataFrame:
+    """The bars, resampled once and written, for plans that read them several times."""
+    return scratch.written(bars(spark, d), "bars")
+
+
+def flags(spark, d, b: DataFrame | None = None) -> DataFrame:
     """Fired flags of all 80 atomic patterns over hourly and daily bars."""
-    b = bars(spark, d)
+    b = stored_bars(spark, d) if b is None else b
     idx = select(b, ["bar_idx"])
     macro = C.macro_flags(b, C.macro_events(spark, d)).join(idx, ["symbol", "timeframe", "ts"])
     return M.fired(b).unionByName(macro)
@@ -73,14 +78,16 @@ UNION ALL SELECT f1.symbol, f1.timeframe, f1.ts, bar_idx, pattern FROM ({C.flags
 _query("pattern_dim", lambda s, d: M.pattern_dim(s), M.dim_sql())
 _query("combo_pairs", lambda s, d: M.combo_pairs(M.pattern_dim(s)), M.pairs_sql())
 _query("fired_patterns", flags, FLAGS_SQL)
-_query("combo_events", lambda s, d: M.combo_events(flags(s, d), M.combo_pairs(M.pattern_dim(s))), f"WITH f AS MATERIALIZED ({FLAGS_SQL}) SELECT a.symbol, a.timeframe, a.bar_idx, p.pattern, p.hint FROM f a JOIN f b USING (symbol, timeframe, bar_idx) JOIN ({M.pairs_sql()}) p ON p.a = a.pattern AND p.b = b.pattern")
+_query("combo_events", lambda s, d: M.combo_events(scratch.written(flags(s, d), "fired"), M.combo_pairs(M.pattern_dim(s))), f"WITH f AS MATERIALIZED ({FLAGS_SQL}) SELECT a.symbol, a.timeframe, a.bar_idx, p.pattern, p.hint FROM f a JOIN f b USING (symbol, timeframe, bar_idx) JOIN ({M.pairs_sql()}) p ON p.a = a.pattern AND p.b = b.pattern")
 
 
 def trades(spark, d, pairs: bool = False, ratios: tuple[float, ...] = (4.0,)) -> DataFrame:
     """Every occurrence of a pattern (and pair) with its labels."""
-    dim = M.pattern_dim(spark)
-    found = M.occurrences(flags(spark, d), dim, M.combo_pairs(dim) if pairs else None)
-    return M.trades(found, trade_labels(bars(spark, d), ratios).drop("ts"))
+    dim, b = M.pattern_dim(spark), stored_bars(spark, d)
+    fired = flags(spark, d, b)
+    if pairs:  # both sides of the pairs and the patterns themselves read it
+        fired = scratch.written(fired, "fired")
+    return M.trades(M.occurrences(fired, dim, M.combo_pairs(dim) if pairs else None), trade_labels(b, ratios).drop("ts"))
 
 
 def trades_sql(pairs: bool = False, ratios: tuple[float, ...] = (4.0,)) -> str:
