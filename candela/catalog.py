@@ -11,5 +11,5 @@ SQL: dict[str, str] = {name: q for m in _MODULES for name, q in m.SQL.items()}
 
 
 def entry(spark, sf_dir: str):
-    """Graded statistics of every pattern and direction."""
-    return QUERIES["trade_summary_oos"](spark, sf_dir)
+    """Graded statistics of every pattern and direction, over all candle sizes."""
+    return QUERIES["trade_summary_oos_all"](spark, sf_dir)

@@ -10,7 +10,7 @@ from ..operators import bars as B
 from ..operators import calendar
 from ..operators.primitives import PRIMITIVES, column
 from ..sources import market, merge
-from .common import FINE, bars, bars_sql, rounded, rounded_sql
+from .common import ALL, FINE, bars, bars_sql, rounded, rounded_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -18,8 +18,9 @@ _KEYS = ("symbol", "timeframe", "ts")
 
 
 def _over_bars(name: str, names: list[str], doubles: list[str] | None = None, timeframes: tuple[str, ...] = FINE, digits: int = 6) -> None:
-    """A query of named columns over all bars; doubles (by default all) are rounded."""
+    """A query of named columns over the bars of some sizes, and over all sizes as <name>_all; doubles (by default all) are rounded."""
     doubles = names if doubles is None else doubles
+    QUERIES[f"{name}_all"] = lambda spark, d: rounded(select(bars(spark, d, ALL), names), digits)
     QUERIES[name] = lambda spark, d: rounded(select(bars(spark, d, timeframes), names), digits)
     SQL[name] = rounded_sql(sql(bars_sql(timeframes), names), doubles, digits)
 
@@ -149,6 +150,7 @@ def primitive_bars_sql(timeframes: tuple[str, ...] = ("1h",)) -> str:
 for _f, _names in _BY_FAMILY.items():
     if _f in ("fundamental", "carry"):
         QUERIES[f"primitives_{_f}"] = lambda spark, d, names=_names: select(primitive_bars(spark, d), names)
+        QUERIES[f"primitives_{_f}_all"] = lambda spark, d, names=_names: select(primitive_bars(spark, d, ALL), names)
         SQL[f"primitives_{_f}"] = sql(primitive_bars_sql(), _names)
     else:
         _flags(f"primitives_{_f}", _names)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..sources import market
 
 FINE = ("15min", "1h")
+#: The size at which SQL checks a query, and all sizes, at which its whole form (named *_all, without SQL) runs.
+HOURLY, ALL = ("1h",), tuple(market.TIMEFRAMES)
 
 
 def bars(spark: SparkSession, sf_dir: str, timeframes: tuple[str, ...] = ("1h",)) -> DataFrame:

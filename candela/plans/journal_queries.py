@@ -10,7 +10,7 @@ from ..functions.registry import resolve, sql
 from ..operators.labels import labels_sql, trade_labels
 from ..sources import market, merge
 from . import journal as J
-from .common import bars, bars_sql, rounded, rounded_sql
+from .common import ALL, HOURLY, bars, bars_sql, rounded, rounded_sql
 from .mining import BAR_PATTERNS, PATTERNS, dim_sql, fired, fired_sql, pattern_dim
 
 QUERIES: dict = {}
@@ -23,6 +23,12 @@ def _query(name: str, f, query: str | None = None, doubles: list[str] | None = N
         SQL[name] = rounded_sql(query, doubles or [], digits)
 
 
+def _both(name: str, f, *sql_form, digits: int = 6) -> None:
+    """A query f(spark, d, timeframes) at the size that SQL checks, and over all sizes as <name>_all."""
+    _query(name, lambda s, d: f(s, d, HOURLY), *sql_form, digits=digits)
+    QUERIES[f"{name}_all"] = lambda s, d: rounded(f(s, d, ALL), digits)
+
+
 _R = f"SELECT *, CASE outcome WHEN 'win' THEN 4.0 ELSE -1.0 END::DOUBLE AS actual_r, CASE outcome WHEN 'win' THEN 4.0 ELSE -1.0 END::DOUBLE - {J.COST} AS actual_r_after_costs FROM ({market.JOURNAL_SQL}) j WHERE outcome IN ('win', 'loss')"
 #: Mined win rates by pattern; p5 isn't in the library.
 MINED = {"p1": 0.70, "p2": 0.62, "p3": 0.55, "p4": 0.40}
@@ -79,17 +85,17 @@ _query("journal_append", lambda s, d: J.new_entries(market.journal(s, d), market
 LIB_RATE, LIB_N = "0.6 + length(pattern) % 7 / 50.0", "30 + length(pattern) * 10"
 
 
-def _ballot(spark, d) -> DataFrame:
+def _ballot(spark, d, timeframes: tuple[str, ...] = HOURLY) -> DataFrame:
     """Patterns of the last bar in both directions that their hints allow, with a made-up library."""
-    b = bars(spark, d)
+    b = bars(spark, d, timeframes)
     last = merge.last_bar(b).select("symbol", "timeframe", F.col("last_ts").alias("ts"))
     flags = fired(b).join(last, ["symbol", "timeframe", "ts"])
     sides = spark.createDataFrame([(1,), (-1,)], "direction int")
     return flags.join(F.broadcast(pattern_dim(spark)), "pattern").crossJoin(F.broadcast(sides)).where("hint = 0 or hint = direction").select("symbol", "timeframe", "pattern", "direction", F.lit(None).cast("boolean").alias("regime_ok"), F.expr("length(pattern) % 3 <> 0").alias("coarse_ok"))
 
 
-def _vote_library(spark) -> DataFrame:
-    rows = [(p, tf, s, 30 + len(p) * 10, 0.6 + len(p) % 7 / 50.0, 0.5 + len(p) % 7 / 50.0) for p in PATTERNS for tf in ("1h", "1d") for s in (1, -1)]
+def _vote_library(spark, timeframes: tuple[str, ...] = HOURLY) -> DataFrame:
+    rows = [(p, tf, s, 30 + len(p) * 10, 0.6 + len(p) % 7 / 50.0, 0.5 + len(p) % 7 / 50.0) for p in PATTERNS for tf in dict.fromkeys([*timeframes, "1d"]) for s in (1, -1)]
     return spark.createDataFrame(rows, "pattern string, timeframe string, direction int, resolved bigint, win_rate double, wilson_lower double")
 
 
@@ -109,17 +115,17 @@ s AS (SELECT *, CASE WHEN bull > bear THEN 'BUY' WHEN bear > bull THEN 'SELL' EL
 t AS (SELECT * FROM u JOIN s USING (symbol) WHERE (signal = 'BUY' AND direction = 1) OR (signal = 'SELL' AND direction = -1) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY weight DESC, timeframe DESC, pattern DESC) = 1)
 SELECT s.symbol, s.signal, s.bull, s.bear, coalesce(s.agreement, 0) AS agreement, coalesce(100 * t.wilson_lower * s.agreement, 0) AS confidence, t.pattern AS primary_pattern, t.timeframe AS primary_timeframe FROM s LEFT JOIN t USING (symbol)
 """
-_query("weighted_vote", lambda s, d: J.vote(_ballot(s, d), _vote_library(s), _no_decay(s)), _VOTE, ["bull", "bear", "agreement", "confidence"])
+_both("weighted_vote", lambda s, d, tf: J.vote(_ballot(s, d, tf), _vote_library(s, tf), _no_decay(s)), _VOTE, ["bull", "bear", "agreement", "confidence"])
 _PLAN = f"SELECT symbol, timeframe, ts, direction, close AS entry, close - direction * 1.5 * atr AS stop_loss, close + direction * 4.0 * 1.5 * atr AS take_profit, 1.5 * atr AS risk FROM (SELECT * FROM ({sql(bars_sql(), ['atr'], ('symbol', 'timeframe', 'ts', 'close'))}) p QUALIFY row_number() OVER (PARTITION BY symbol, timeframe ORDER BY ts DESC) = 1) CROSS JOIN (VALUES (1), (-1)) s(direction) WHERE atr > 0"
 _PLAN_DOUBLES = ["entry", "stop_loss", "take_profit", "risk"]
-_query("trade_plan", lambda s, d: J.trade_plan(bars(s, d)), _PLAN, _PLAN_DOUBLES, 4)
-_query("position_size", lambda s, d: J.position_size(J.trade_plan(bars(s, d)), 10_000.0, 1.0), f"SELECT *, 100.0 AS dollar_risk, 100.0 / risk AS units, 100.0 / risk / 100.0 AS lots FROM ({_PLAN}) p", [*_PLAN_DOUBLES, "dollar_risk", "units", "lots"], 4)
-_query("freshness", lambda s, d: J.freshness(bars(s, d), F.expr(merge.minutes()), "2024-01-31 12:00:00"), f"SELECT *, age_minutes > 3 * m AS stale FROM (SELECT symbol, timeframe, ts, ts + to_minutes(m) AS closed_at, epoch_us(TIMESTAMP '2024-01-31 12:00:00' - (ts + to_minutes(m))) / 60000000.0 AS age_minutes, m FROM (SELECT symbol, timeframe, max(ts) AS ts, CASE timeframe WHEN '1h' THEN 60 ELSE 1440 END AS m FROM ({bars_sql()}) b GROUP BY 1, 2))".replace("SELECT *, age_minutes > 3 * m AS stale", "SELECT symbol, timeframe, ts, closed_at, age_minutes, age_minutes > 3 * m AS stale"), ["age_minutes"], 4)
-_query("volatility_shock", lambda s, d: J.volatility_shock(trade_labels(bars(s, d)), bars(s, d)).select("symbol", "timeframe", "bar_idx", "direction", "shock_ratio"), f"""
+_both("trade_plan", lambda s, d, tf: J.trade_plan(bars(s, d, tf)), _PLAN, _PLAN_DOUBLES, digits=4)
+_both("position_size", lambda s, d, tf: J.position_size(J.trade_plan(bars(s, d, tf)), 10_000.0, 1.0), f"SELECT *, 100.0 AS dollar_risk, 100.0 / risk AS units, 100.0 / risk / 100.0 AS lots FROM ({_PLAN}) p", [*_PLAN_DOUBLES, "dollar_risk", "units", "lots"], digits=4)
+_both("freshness", lambda s, d, tf: J.freshness(bars(s, d, tf), F.expr(merge.minutes()), "2024-01-31 12:00:00"), f"SELECT *, age_minutes > 3 * m AS stale FROM (SELECT symbol, timeframe, ts, ts + to_minutes(m) AS closed_at, epoch_us(TIMESTAMP '2024-01-31 12:00:00' - (ts + to_minutes(m))) / 60000000.0 AS age_minutes, m FROM (SELECT symbol, timeframe, max(ts) AS ts, CASE timeframe WHEN '1h' THEN 60 ELSE 1440 END AS m FROM ({bars_sql()}) b GROUP BY 1, 2))".replace("SELECT *, age_minutes > 3 * m AS stale", "SELECT symbol, timeframe, ts, closed_at, age_minutes, age_minutes > 3 * m AS stale"), ["age_minutes"], digits=4)
+_both("volatility_shock", lambda s, d, tf: J.volatility_shock(trade_labels(bars(s, d, tf)), bars(s, d, tf)).select("symbol", "timeframe", "bar_idx", "direction", "shock_ratio"), f"""
 WITH b AS ({sql(bars_sql(), ['bar_idx', 'atr'])}), c AS (SELECT *, sum(coalesce(atr, 0)) OVER (PARTITION BY symbol, timeframe ORDER BY ts) AS total FROM b)
-SELECT l.symbol, l.timeframe, l.bar_idx, l.direction, (e.total - s.total) / (bars_to_resolve + 1) / nullif(s.atr, 0) AS shock_ratio FROM ({labels_sql(bars_sql())}) l JOIN c s USING (symbol, timeframe, bar_idx) JOIN c e ON e.symbol = l.symbol AND e.timeframe = l.timeframe AND e.bar_idx = l.bar_idx + 1 + bars_to_resolve""", ["shock_ratio"], 4)
+SELECT l.symbol, l.timeframe, l.bar_idx, l.direction, (e.total - s.total) / (bars_to_resolve + 1) / nullif(s.atr, 0) AS shock_ratio FROM ({labels_sql(bars_sql())}) l JOIN c s USING (symbol, timeframe, bar_idx) JOIN c e ON e.symbol = l.symbol AND e.timeframe = l.timeframe AND e.bar_idx = l.bar_idx + 1 + bars_to_resolve""", ["shock_ratio"], digits=4)
 _scored = lambda s, d: market.journal(s, d).where("outcome is not null").select((F.col("entry") % 1000 / 1000).alias("p"), (F.col("outcome") == "win").alias("won"))
 _query("calibration_bins", lambda s, d: J.calibration(_scored(s, d)), f"""
 WITH p AS (SELECT entry % 1000 / 1000 AS p, (outcome = 'win')::INT AS won FROM ({market.JOURNAL_SQL}) j WHERE outcome IS NOT NULL), m AS (SELECT min(p) AS lo, (max(p) - min(p)) / 10 AS step FROM p)
 SELECT greatest(0, least(9, ceil((p - lo) / step) - 1))::INT AS bin, count(*) AS n, avg(p) AS mean_p, avg(won) AS win_rate, (SELECT avg((p - won) ** 2) FROM p) AS brier FROM p, m GROUP BY 1""", ["mean_p", "win_rate", "brier"], 5)
-_query("backtest_stats", lambda s, d: J.backtest_stats(trade_labels(bars(s, d))), f"SELECT symbol, timeframe, direction, count(*) AS n, sum(greatest(net_r, 0)) / nullif(sum(greatest(-net_r, 0)), 0) AS profit_factor, avg(net_r) AS mean_r, stddev_samp(net_r) AS std_r FROM ({labels_sql(bars_sql())}) l WHERE outcome <> 'unresolved' GROUP BY ALL", ["profit_factor", "mean_r", "std_r"], 4)
+_both("backtest_stats", lambda s, d, tf: J.backtest_stats(trade_labels(bars(s, d, tf))), f"SELECT symbol, timeframe, direction, count(*) AS n, sum(greatest(net_r, 0)) / nullif(sum(greatest(-net_r, 0)), 0) AS profit_factor, avg(net_r) AS mean_r, stddev_samp(net_r) AS std_r FROM ({labels_sql(bars_sql())}) l WHERE outcome <> 'unresolved' GROUP BY ALL", ["profit_factor", "mean_r", "std_r"], digits=4)

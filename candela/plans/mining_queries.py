@@ -12,7 +12,7 @@ from ..operators import features as X
 from ..operators.labels import labels_sql, trade_labels
 from ..sources import market, scratch
 from . import mining as M
-from .common import FINE, bars, bars_sql, rounded, rounded_sql
+from .common import ALL, FINE, HOURLY, bars, bars_sql, rounded, rounded_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -26,6 +26,12 @@ def _query(name: str, f, query: str | None = None, doubles: list[str] | None = N
         SQL[name] = rounded_sql(query, doubles or [], digits, dates)
 
 
+def _both(name: str, f, *sql_form, digits: int = 6) -> None:
+    """A query f(spark, d, timeframes) at the size that SQL checks, and over all sizes as <name>_all."""
+    _query(name, lambda s, d: f(s, d, HOURLY), *sql_form, digits=digits)
+    QUERIES[f"{name}_all"] = lambda s, d: rounded(f(s, d, ALL), digits)
+
+
 # macro events
 _query("macro_observations", market.observations, market.OBSERVATIONS_SQL, ["value"], 4, dates=("reference_period",))
 _query("asof_forward_releases", lambda s, d: C.align_releases(o := market.observations(s, d), market.release_dates(o)), C.aligned_sql(), ["value"], 4, dates=("reference_period", "release_date"))
@@ -33,9 +39,9 @@ _query("asof_forward_releases_compat", lambda s, d: C.align_releases(o := market
 _query("macro_deltas", lambda s, d: C.macro_deltas(C.align_releases(o := market.observations(s, d), market.release_dates(o))), C.deltas_sql(C.aligned_sql()), _DELTAS, 4, dates=("reference_period", "release_date"))
 _query("rate_changes", lambda s, d: C.rate_changes(market.observations(s, d)), C.RATE_CHANGES_SQL, ["value", "prior_value", "change"], 4, dates=("reference_period",))
 _query("fundamentals", C.macro_events, C.EVENTS_SQL, ["value", "vs_trend"], 4, dates=("reference_period",))
-_query("asof_forward_events", lambda s, d: C.macro_flags(bars(s, d), C.macro_events(s, d)), C.flags_sql(bars_sql()))
-_query("surprise_zscores", lambda s, d: C.surprises(bars(s, d), C.macro_events(s, d)).select("symbol", "timeframe", "ts", *[f"{k.lower()}_surprise" for k in C.KINDS]), f"SELECT symbol, timeframe, ts, cpi_surprise, pce_surprise, nfp_surprise, gdp_surprise FROM ({C.surprises_sql(bars_sql())}) q", [f"{k.lower()}_surprise" for k in C.KINDS], 4)
-_query("asof_backward_context", lambda s, d: C.attach_context(bars(s, d), C.context_series(s, d)).select("symbol", "timeframe", "ts", "dxy", "real_yield_10y"), f"SELECT symbol, timeframe, ts, dxy, real_yield_10y FROM ({C.context_sql(bars_sql())}) q", ["dxy", "real_yield_10y"])
+_both("asof_forward_events", lambda s, d, tf: C.macro_flags(bars(s, d, tf), C.macro_events(s, d)), C.flags_sql(bars_sql()))
+_both("surprise_zscores", lambda s, d, tf: C.surprises(bars(s, d, tf), C.macro_events(s, d)).select("symbol", "timeframe", "ts", *[f"{k.lower()}_surprise" for k in C.KINDS]), f"SELECT symbol, timeframe, ts, cpi_surprise, pce_surprise, nfp_surprise, gdp_surprise FROM ({C.surprises_sql(bars_sql())}) q", [f"{k.lower()}_surprise" for k in C.KINDS], digits=4)
+_both("asof_backward_context", lambda s, d, tf: C.attach_context(bars(s, d, tf), C.context_series(s, d)).select("symbol", "timeframe", "ts", "dxy", "real_yield_10y"), f"SELECT symbol, timeframe, ts, dxy, real_yield_10y FROM ({C.context_sql(bars_sql())}) q", ["dxy", "real_yield_10y"])
 _query("upcoming_calendar", lambda s, d: C.upcoming(market.release_dates(market.observations(s, d)), "2000-01-01"), f"SELECT {C.published_sql('release_date')} AS datetime_utc, event_type, 'high' AS impact FROM ({market.RELEASES_SQL}) r WHERE release_date >= DATE '2000-01-01'")
 _query("events_in_window", lambda s, d: C.events_in_window(C.macro_events(s, d), "1997-01-01", "1997-06-30 12:30:00", "high"), f"SELECT * FROM ({C.EVENTS_SQL}) e WHERE datetime_utc BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1997-06-30 12:30:00'", ["value", "vs_trend"], 4, dates=("reference_period",))
 
@@ -54,18 +60,19 @@ _query("news_risk", lambda s, d: C.news_risk(market.release_dates(market.observa
 # labels
 _LABEL = ["entry", "stop", "target", "risk", "net_r"]
 _query("trade_labels", lambda s, d: trade_labels(bars(s, d, FINE)), labels_sql(bars_sql(FINE)), _LABEL, 4)
-_query("trade_labels_grid", lambda s, d: trade_labels(bars(s, d), GRID).groupBy("symbol", "timeframe", "direction", "rr", "outcome").agg(F.count(F.lit(1)).alias("n"), F.avg("net_r").alias("net_r")), f"SELECT symbol, timeframe, direction, rr, outcome, count(*) AS n, avg(net_r) AS net_r FROM ({labels_sql(bars_sql(), GRID)}) l GROUP BY ALL", ["net_r"], 4)
+QUERIES["trade_labels_all"] = lambda s, d: rounded(trade_labels(bars(s, d, ALL)), 4)
+_both("trade_labels_grid", lambda s, d, tf: trade_labels(bars(s, d, tf), GRID).groupBy("symbol", "timeframe", "direction", "rr", "outcome").agg(F.count(F.lit(1)).alias("n"), F.avg("net_r").alias("net_r")), f"SELECT symbol, timeframe, direction, rr, outcome, count(*) AS n, avg(net_r) AS net_r FROM ({labels_sql(bars_sql(), GRID)}) l GROUP BY ALL", ["net_r"], digits=4)
 
 
 # fired patterns and pairs
-def stored_bars(spark, d) -> DataFrame:
+def stored_bars(spark, d, timeframes: tuple[str, ...] = HOURLY) -> DataFrame:
     """The bars, resampled once and written, for plans that read them several times."""
-    return scratch.written(bars(spark, d), "bars")
+    return scratch.written(bars(spark, d, timeframes), "bars")
 
 
-def flags(spark, d, b: DataFrame | None = None) -> DataFrame:
-    """Fired flags of all 80 atomic patterns over hourly and daily bars."""
-    b = stored_bars(spark, d) if b is None else b
+def flags(spark, d, timeframes: tuple[str, ...] = HOURLY, b: DataFrame | None = None) -> DataFrame:
+    """Fired flags of all 80 atomic patterns over the bars of the given sizes and the daily series."""
+    b = stored_bars(spark, d, timeframes) if b is None else b
     idx = select(b, ["bar_idx"])
     macro = C.macro_flags(b, C.macro_events(spark, d)).join(idx, ["symbol", "timeframe", "ts"])
     return M.fired(b).unionByName(macro)
@@ -77,14 +84,14 @@ UNION ALL SELECT f1.symbol, f1.timeframe, f1.ts, bar_idx, pattern FROM ({C.flags
 """
 _query("pattern_dim", lambda s, d: M.pattern_dim(s), M.dim_sql())
 _query("combo_pairs", lambda s, d: M.combo_pairs(M.pattern_dim(s)), M.pairs_sql())
-_query("fired_patterns", flags, FLAGS_SQL)
-_query("combo_events", lambda s, d: M.combo_events(scratch.written(flags(s, d), "fired"), M.combo_pairs(M.pattern_dim(s))), f"WITH f AS MATERIALIZED ({FLAGS_SQL}) SELECT a.symbol, a.timeframe, a.bar_idx, p.pattern, p.hint FROM f a JOIN f b USING (symbol, timeframe, bar_idx) JOIN ({M.pairs_sql()}) p ON p.a = a.pattern AND p.b = b.pattern")
+_both("fired_patterns", flags, FLAGS_SQL)
+_both("combo_events", lambda s, d, tf: M.combo_events(scratch.written(flags(s, d, tf), "fired"), M.combo_pairs(M.pattern_dim(s))), f"WITH f AS MATERIALIZED ({FLAGS_SQL}) SELECT a.symbol, a.timeframe, a.bar_idx, p.pattern, p.hint FROM f a JOIN f b USING (symbol, timeframe, bar_idx) JOIN ({M.pairs_sql()}) p ON p.a = a.pattern AND p.b = b.pattern")
 
 
-def trades(spark, d, pairs: bool = False, ratios: tuple[float, ...] = (4.0,)) -> DataFrame:
+def trades(spark, d, pairs: bool = False, ratios: tuple[float, ...] = (4.0,), timeframes: tuple[str, ...] = HOURLY) -> DataFrame:
     """Every occurrence of a pattern (and pair) with its labels."""
-    dim, b = M.pattern_dim(spark), stored_bars(spark, d)
-    fired = flags(spark, d, b)
+    dim, b = M.pattern_dim(spark), stored_bars(spark, d, timeframes)
+    fired = flags(spark, d, timeframes, b)
     if pairs:  # both sides of the pairs and the patterns themselves read it
         fired = scratch.written(fired, "fired")
     return M.trades(M.occurrences(fired, dim, M.combo_pairs(dim) if pairs else None), trade_labels(b, ratios).drop("ts"))
@@ -99,37 +106,37 @@ def trades_sql(pairs: bool = False, ratios: tuple[float, ...] = (4.0,)) -> str:
 
 _MEASURES = ["win_rate", "wilson_lower", "expectancy_r", "expectancy_net_r", "avg_risk", "median_bars"]
 _BOTH = [*_MEASURES, *[f"oos_{m}" for m in _MEASURES]]
-_query("trade_summary_oos", lambda s, d: M.graded(trades(s, d)), M.graded_sql(trades_sql()), _BOTH)
-_query("pattern_library", lambda s, d: M.graded(trades(s, d, True)), M.graded_sql(trades_sql(True)), _BOTH)
-_query("trade_summary", lambda s, d: trades(s, d).groupBy("pattern", "direction").agg(*M.summary()), f"SELECT pattern, direction, {M.summary_sql()} FROM ({trades_sql()}) t GROUP BY ALL", _MEASURES)
+_both("trade_summary_oos", lambda s, d, tf: M.graded(trades(s, d, timeframes=tf)), M.graded_sql(trades_sql()), _BOTH)
+_both("pattern_library", lambda s, d, tf: M.graded(trades(s, d, True, timeframes=tf)), M.graded_sql(trades_sql(True)), _BOTH)
+_both("trade_summary", lambda s, d, tf: trades(s, d, timeframes=tf).groupBy("pattern", "direction").agg(*M.summary()), f"SELECT pattern, direction, {M.summary_sql()} FROM ({trades_sql()}) t GROUP BY ALL", _MEASURES)
 
 
-def with_regime(spark, d) -> DataFrame:
-    return trades(spark, d).join(resolve(bars(spark, d), ["bar_idx", "combined_regime"]).select(*M.KEY, F.col("combined_regime").alias("regime")), M.KEY)
+def with_regime(spark, d, timeframes: tuple[str, ...] = HOURLY) -> DataFrame:
+    return trades(spark, d, timeframes=timeframes).join(resolve(bars(spark, d, timeframes), ["bar_idx", "combined_regime"]).select(*M.KEY, F.col("combined_regime").alias("regime")), M.KEY)
 
 
 _REGIME_SQL = f"SELECT t.*, r.combined_regime AS regime FROM ({trades_sql()}) t JOIN ({sql(bars_sql(), ['bar_idx', 'combined_regime'])}) r USING (symbol, timeframe, bar_idx)"
 _GROUP = ", ".join(M.GROUP)
-_query("by_regime", lambda s, d: M.by_context(with_regime(s, d), "regime"), f"SELECT {_GROUP}, regime, {M.summary_sql()} FROM ({_REGIME_SQL}) t WHERE regime IS NOT NULL GROUP BY ALL", _MEASURES)
-_query("news_in_window", lambda s, d: C.tag_news(trade_labels(bars(s, d)), bars(s, d), C.macro_events(s, d)).select("symbol", "timeframe", "bar_idx", "direction", "rr", "news"), f"SELECT symbol, timeframe, bar_idx, direction, rr, news FROM ({C.news_sql(labels_sql(bars_sql()), bars_sql())}) q")
+_both("by_regime", lambda s, d, tf: M.by_context(with_regime(s, d, tf), "regime"), f"SELECT {_GROUP}, regime, {M.summary_sql()} FROM ({_REGIME_SQL}) t WHERE regime IS NOT NULL GROUP BY ALL", _MEASURES)
+_both("news_in_window", lambda s, d, tf: C.tag_news(trade_labels(bars(s, d, tf)), bars(s, d, tf), C.macro_events(s, d)).select("symbol", "timeframe", "bar_idx", "direction", "rr", "news"), f"SELECT symbol, timeframe, bar_idx, direction, rr, news FROM ({C.news_sql(labels_sql(bars_sql()), bars_sql())}) q")
 
 
-def with_news(spark, d) -> DataFrame:
-    return C.tag_news(trades(spark, d), bars(spark, d), C.macro_events(spark, d))
+def with_news(spark, d, timeframes: tuple[str, ...] = HOURLY) -> DataFrame:
+    return C.tag_news(trades(spark, d, timeframes=timeframes), bars(spark, d, timeframes), C.macro_events(spark, d))
 
 
-_query("by_news", lambda s, d: M.by_context(with_news(s, d), "news"), f"SELECT {_GROUP}, news, {M.summary_sql()} FROM ({C.news_sql(trades_sql(), bars_sql())}) t GROUP BY ALL", _MEASURES)
-_query("grouping_sets_summary", lambda s, d: M.all_grains(C.tag_news(with_regime(s, d), bars(s, d), C.macro_events(s, d))), f"SELECT {_GROUP}, news, regime, grouping({_GROUP}, news, regime) AS grain, {M.summary_sql()} FROM ({C.news_sql(_REGIME_SQL, bars_sql())}) t GROUP BY GROUPING SETS (({_GROUP}), ({_GROUP}, news), ({_GROUP}, regime))", _MEASURES)
-_query("rr_grid_expectancy", lambda s, d: M.reward_grid(trades(s, d, ratios=GRID)), f"""
+_both("by_news", lambda s, d, tf: M.by_context(with_news(s, d, tf), "news"), f"SELECT {_GROUP}, news, {M.summary_sql()} FROM ({C.news_sql(trades_sql(), bars_sql())}) t GROUP BY ALL", _MEASURES)
+_both("grouping_sets_summary", lambda s, d, tf: M.all_grains(C.tag_news(with_regime(s, d, tf), bars(s, d, tf), C.macro_events(s, d))), f"SELECT {_GROUP}, news, regime, grouping({_GROUP}, news, regime) AS grain, {M.summary_sql()} FROM ({C.news_sql(_REGIME_SQL, bars_sql())}) t GROUP BY GROUPING SETS (({_GROUP}), ({_GROUP}, news), ({_GROUP}, regime))", _MEASURES)
+_both("rr_grid_expectancy", lambda s, d, tf: M.reward_grid(trades(s, d, ratios=GRID, timeframes=tf)), f"""
 WITH g AS (SELECT {_GROUP}, rr, count(*) FILTER (outcome <> 'unresolved') AS resolved, round(avg(net_r), 6) AS net FROM ({trades_sql(ratios=GRID)}) t GROUP BY ALL)
-SELECT {_GROUP}, arg_max(rr, (net, -rr)) AS best_rr, max(net) AS best_net_r, count(*) AS tiers FROM g WHERE resolved >= 10 GROUP BY ALL""", ["best_rr", "best_net_r"], 4)
-_query("era_scores", lambda s, d: M.era_scores(trades(s, d)), f"""
+SELECT {_GROUP}, arg_max(rr, (net, -rr)) AS best_rr, max(net) AS best_net_r, count(*) AS tiers FROM g WHERE resolved >= 10 GROUP BY ALL""", ["best_rr", "best_net_r"], digits=4)
+_both("era_scores", lambda s, d, tf: M.era_scores(trades(s, d, timeframes=tf)), f"""
 WITH t0 AS ({trades_sql()}), t1 AS (SELECT *, floor((max(bar_idx) OVER (PARTITION BY symbol, timeframe) + 1) * 0.75::DOUBLE) AS fin FROM t0),
 p AS (SELECT {_GROUP}, least(3, floor(bar_idx * 4 / fin)) AS era, count(*) FILTER (outcome <> 'unresolved') AS resolved, count(*) FILTER (outcome = 'win') AS wins FROM t1 WHERE bar_idx < fin GROUP BY ALL)
-SELECT {_GROUP}, round(CASE WHEN count(*) < 4 THEN 0.0 ELSE min(CASE WHEN resolved < 20 THEN 0.0 ELSE {stats.wilson_sql('wins', 'resolved')} END) END, 6) AS worst_era_score, count(*) AS eras, sum(resolved)::BIGINT AS resolved FROM p GROUP BY ALL""", ["worst_era_score"], 4)
-_query("win_rate_buckets", lambda s, d: trades(s, d).groupBy(*M.GROUP).agg(*M.summary()).groupBy("timeframe", F.expr("case when win_rate is null then 'none' when win_rate < 0.2 then 'a' when win_rate < 0.4 then 'b' when win_rate < 0.6 then 'c' else 'd' end").alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum("resolved").alias("resolved")), f"SELECT timeframe, CASE WHEN win_rate IS NULL THEN 'none' WHEN win_rate < 0.2 THEN 'a' WHEN win_rate < 0.4 THEN 'b' WHEN win_rate < 0.6 THEN 'c' ELSE 'd' END AS bucket, count(*) AS n, sum(resolved)::BIGINT AS resolved FROM (SELECT {_GROUP}, {M.summary_sql()} FROM ({trades_sql()}) t GROUP BY {_GROUP}) g GROUP BY 1, 2")
-_query("topk_patterns", lambda s, d: trades(s, d).groupBy("pattern", "direction").agg(*M.summary()).where("resolved >= 30").orderBy(F.desc("win_rate"), "pattern", "direction").limit(15).select("pattern", "direction", "resolved", "win_rate"), f"SELECT pattern, direction, resolved, win_rate FROM (SELECT pattern, direction, {M.summary_sql()} FROM ({trades_sql()}) t GROUP BY ALL) g WHERE resolved >= 30 ORDER BY win_rate DESC, pattern, direction LIMIT 15", ["win_rate"])
-_query("strategy_backtest", lambda s, d: M.graded(trades(s, d).where("pattern like 'smc_%' or pattern like 'trend_following%'")), M.graded_sql(f"SELECT * FROM ({trades_sql()}) t9 WHERE pattern LIKE 'smc_%' OR pattern LIKE 'trend_following%'"), _BOTH)
+SELECT {_GROUP}, round(CASE WHEN count(*) < 4 THEN 0.0 ELSE min(CASE WHEN resolved < 20 THEN 0.0 ELSE {stats.wilson_sql('wins', 'resolved')} END) END, 6) AS worst_era_score, count(*) AS eras, sum(resolved)::BIGINT AS resolved FROM p GROUP BY ALL""", ["worst_era_score"], digits=4)
+_both("win_rate_buckets", lambda s, d, tf: trades(s, d, timeframes=tf).groupBy(*M.GROUP).agg(*M.summary()).groupBy("timeframe", F.expr("case when win_rate is null then 'none' when win_rate < 0.2 then 'a' when win_rate < 0.4 then 'b' when win_rate < 0.6 then 'c' else 'd' end").alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum("resolved").alias("resolved")), f"SELECT timeframe, CASE WHEN win_rate IS NULL THEN 'none' WHEN win_rate < 0.2 THEN 'a' WHEN win_rate < 0.4 THEN 'b' WHEN win_rate < 0.6 THEN 'c' ELSE 'd' END AS bucket, count(*) AS n, sum(resolved)::BIGINT AS resolved FROM (SELECT {_GROUP}, {M.summary_sql()} FROM ({trades_sql()}) t GROUP BY {_GROUP}) g GROUP BY 1, 2")
+_both("topk_patterns", lambda s, d, tf: trades(s, d, timeframes=tf).groupBy("pattern", "direction").agg(*M.summary()).where("resolved >= 30").orderBy(F.desc("win_rate"), "pattern", "direction").limit(15).select("pattern", "direction", "resolved", "win_rate"), f"SELECT pattern, direction, resolved, win_rate FROM (SELECT pattern, direction, {M.summary_sql()} FROM ({trades_sql()}) t GROUP BY ALL) g WHERE resolved >= 30 ORDER BY win_rate DESC, pattern, direction LIMIT 15", ["win_rate"])
+_both("strategy_backtest", lambda s, d, tf: M.graded(trades(s, d, timeframes=tf).where("pattern like 'smc_%' or pattern like 'trend_following%'")), M.graded_sql(f"SELECT * FROM ({trades_sql()}) t9 WHERE pattern LIKE 'smc_%' OR pattern LIKE 'trend_following%'"), _BOTH)
 
 
 def _p_values(spark, d) -> DataFrame:
@@ -152,7 +159,7 @@ def spark_p(spark, d) -> DataFrame:
 
 
 # features
-_query("feature_table", lambda s, d: X.features(bars(s, d)).drop("bar_idx"), sql(bars_sql(), X.FEATURES), X.FEATURES, 4)
+_both("feature_table", lambda s, d, tf: X.features(bars(s, d, tf)).drop("bar_idx"), sql(bars_sql(), X.FEATURES), X.FEATURES, digits=4)
 _CTX = ["ctx_" + n.removeprefix("f_") for n in X.COARSE]
 _query("cross_timeframe_context", lambda s, d: X.coarser(select(market.candles(s, d, ("15min",)), ["close"]), market.candles(s, d, ("1h",)), 60), f"""
 SELECT f.symbol, f.timeframe, f.ts, f.close, {', '.join(f'c.{n} AS {x}' for n, x in zip(X.COARSE, _CTX))} FROM ({market.candles_sql(('15min',))}) f

@@ -298,3 +298,10 @@ def test_entry_without_the_llm_folders(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); print(len(q), 'pipeline' in q, set(e.oracle_sql()) - set(q))"], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
     assert out.stdout.split()[1:] == ["False", "set()"], out.stderr
+
+
+def test_whole_queries_take_every_candle_size(spark):
+    symbols = {r[0] for r in spark.read.parquet(f"{DATA}/events.parquet").select("event_type").distinct().collect()} | {"ALL"}
+    every = {(s, tf) for s in symbols for tf in ("1min", "5min", "15min", "1h", "4h", "1d")} | {("SHIP", "1d")}
+    assert {(r.symbol, r.timeframe) for r in catalog.QUERIES["atr_all"](spark, DATA).select("symbol", "timeframe").distinct().collect()} == every
+    assert {r.timeframe for r in catalog.entry(spark, DATA).select("timeframe").distinct().collect()} == {tf for _, tf in every}
