@@ -305,3 +305,20 @@ def test_whole_queries_take_every_candle_size(spark):
     every = {(s, tf) for s in symbols for tf in ("1min", "5min", "15min", "1h", "4h", "1d")} | {("SHIP", "1d")}
     assert {(r.symbol, r.timeframe) for r in catalog.QUERIES["atr_all"](spark, DATA).select("symbol", "timeframe").distinct().collect()} == every
     assert {r.timeframe for r in catalog.entry(spark, DATA).select("timeframe").distinct().collect()} == {tf for _, tf in every}
+
+
+def test_beam_search_gets_every_primitive(spark, monkeypatch):
+    from candela.operators.primitives import PRIMITIVES
+    from candela.plans import discovery_queries as Q
+
+    seen = {}
+
+    def search(flags, dim, labels, sizes, **settings):
+        seen.update(names={r.primitive for r in dim.collect()}, families={r.family for r in flags.join(dim, "primitive").select("family").distinct().collect()}, ratios={r.rr for r in labels.select("rr").distinct().collect()}, settings=settings)
+        return spark.createDataFrame([], "pattern string, direction int")
+
+    monkeypatch.setattr(D, "beam_search", search)
+    Q.beam_search(spark, DATA, ("1h",))
+    assert seen["names"] == set(PRIMITIVES) and seen["ratios"] == {4.0} and seen["settings"] == {}
+    # that fired on these tables: all families but those whose events may not occur
+    assert seen["families"] >= {f for f, _ in PRIMITIVES.values()} - {"fundamental"}
