@@ -258,7 +258,7 @@ class Feature:
         return F.expr(UNARY[self.unary].format(x="(" + BINARY[self.binary].format(a=f"`{self.a}`", b=f"`{self.b}`") + ")")).alias(self.name)
 
 
-def synthesize_features(features: DataFrame, names: list[str], labels: DataFrame, sizes: DataFrame, seed: int = 0, size: int = 40, generations: int = 3, survivors: int = 8) -> list[tuple[Feature, float]]:
+def synthesize_features(features: DataFrame, names: list[str], labels: DataFrame, sizes: DataFrame, seed: int = 0, size: int = 60, generations: int = 3, survivors: int = 12) -> list[tuple[Feature, float]]:
     """Features by mutation and selection on the mean of the series' worst-era rank correlations, best first; one job a generation."""
     rng, best = random.Random(seed), {}
 

@@ -322,3 +322,22 @@ def test_beam_search_gets_every_primitive(spark, monkeypatch):
     assert seen["names"] == set(PRIMITIVES) and seen["ratios"] == {4.0} and seen["settings"] == {}
     # that fired on these tables: all families but those whose events may not occur
     assert seen["families"] >= {f for f, _ in PRIMITIVES.values()} - {"fundamental"}
+
+
+def test_syntheses_are_registered_at_full_size(spark, monkeypatch):
+    import inspect
+
+    from candela.operators import features as X
+    from candela.plans import discovery_queries as Q
+
+    seen = []
+    none = spark.createDataFrame([], "symbol string")
+    monkeypatch.setattr(Q, "_inputs", lambda *a: (none, none, none))
+    monkeypatch.setattr(Q.X, "features", lambda b, names=None: b)
+    for name, found in (("synthesize", ([], 0)), ("synthesize_features", [])):
+        settings = inspect.signature(getattr(D, name))
+        monkeypatch.setattr(D, name, lambda *a, found=found, settings=settings, **k: seen.append(settings.bind(*a, **k)) or found)
+        assert {k: settings.parameters[k].default for k in ("size", "generations", "survivors")} == {"size": 60, "generations": 3, "survivors": 12}
+    Q.genetic_synthesis(spark, DATA), Q.feature_synthesis(spark, DATA)
+    assert [set(s.arguments) for s in seen] == [{"bars", "labels", "sizes", "least"}, {"features", "names", "labels", "sizes"}]
+    assert seen[1].arguments["names"] == X.FEATURES and len(X.FEATURES) == 84
