@@ -139,14 +139,21 @@ _both("topk_patterns", lambda s, d, tf: trades(s, d, timeframes=tf).groupBy("pat
 _both("strategy_backtest", lambda s, d, tf: M.graded(trades(s, d, timeframes=tf).where("pattern like 'smc_%' or pattern like 'trend_following%'")), M.graded_sql(f"SELECT * FROM ({trades_sql()}) t9 WHERE pattern LIKE 'smc_%' OR pattern LIKE 'trend_following%'"), _BOTH)
 
 
-def _p_values(spark, d) -> DataFrame:
-    """Exact one-sided p-values of each pattern and direction against a win rate of 0.2."""
-    g = trades(spark, d).groupBy("pattern", "direction").agg(F.count_if(F.col("outcome") != "unresolved").alias("n"), F.count_if(F.col("outcome") == "win").alias("wins"))
-    return g.withColumn("p_value", stats.binomial_p(F.col("wins"), F.col("n"), 0.2)).withColumn("name", F.concat_ws("/", "pattern", "direction"))
+def _p_values(spark, d, timeframes: tuple[str, ...] = ALL) -> DataFrame:
+    """Exact one-sided p-values of each pattern or pair, series and direction against the least win rate that qualifies."""
+    g = trades(spark, d, True, timeframes=timeframes).groupBy(*M.GROUP).agg(F.count_if(F.col("outcome") != "unresolved").alias("n"), F.count_if(F.col("outcome") == "win").alias("wins"))
+    return g.withColumn("p_value", stats.binomial_p(F.col("wins"), F.col("n"), M.MIN_WIN_RATE)).withColumn("name", F.concat_ws("/", "pattern", "direction"))
 
 
-_query("binomial_p", lambda s, d: _p_values(s, d).select("name", "n", "wins", "p_value"))
-_query("fdr_accept", lambda s, d: stats.bh_accept(_p_values(s, d), n_tested=2173).select("name", "n", "wins", "p_value", "rank", "accepted"))
+def trials(spark) -> int:
+    """Patterns and pairs in each direction that their hints allow: the trials of one series, whether or not they fire."""
+    dim = M.pattern_dim(spark)
+    both = dim.select("hint").unionByName(M.combo_pairs(dim).select("hint"))
+    return both.agg(F.sum(F.when(F.col("hint") == 0, 2).otherwise(1))).first()[0]
+
+
+_query("binomial_p", lambda s, d: _p_values(s, d).select("symbol", "timeframe", "name", "n", "wins", "p_value"))
+_query("fdr_accept", lambda s, d: stats.bh_accept(_p_values(s, d), n_tested=trials(s), by=("symbol", "timeframe")).select("symbol", "timeframe", "name", "n", "wins", "p_value", "rank", "accepted"))
 _query("bh_correction", lambda s, d: stats.bh_accept(spark_p(s, d)).select("name", "p_value", "rank", "threshold", "accepted"), """
 WITH p AS (SELECT n_name AS name, n_nationkey * n_nationkey / 4000.0::DOUBLE AS p_value FROM nation),
 r AS (SELECT *, row_number() OVER (ORDER BY p_value, name) AS rank, count(*) OVER () AS n FROM p), t AS (SELECT *, rank * 0.05::DOUBLE / n AS threshold FROM r)

@@ -341,3 +341,18 @@ def test_syntheses_are_registered_at_full_size(spark, monkeypatch):
     Q.genetic_synthesis(spark, DATA), Q.feature_synthesis(spark, DATA)
     assert [set(s.arguments) for s in seen] == [{"bars", "labels", "sizes", "least"}, {"features", "names", "labels", "sizes"}]
     assert seen[1].arguments["names"] == X.FEATURES and len(X.FEATURES) == 84
+
+
+def test_false_discovery_runs_over_pairs(spark, monkeypatch):
+    from candela.plans import mining_queries as Q
+
+    dim = M.pattern_dim(spark).collect()
+    pairs = M.combo_pairs(M.pattern_dim(spark)).collect()
+    assert Q.trials(spark) == sum(1 if r.hint else 2 for r in [*dim, *pairs])
+    rows = trade_rows(spark, ["win"] * 7 + ["loss"] * 3).unionByName(trade_rows(spark, ["win"] * 40, "combo__a__b"))
+    asked = []
+    monkeypatch.setattr(Q, "trades", lambda s, d, pairs=False, ratios=(4.0,), timeframes=(): asked.append((pairs, timeframes)) or rows)
+    got = {r.name: r for r in Q.QUERIES["fdr_accept"](spark, DATA).collect()}
+    assert asked == [(True, Q.ALL)]
+    assert math.isclose(got["p/1"].p_value, sum(math.comb(10, k) * 0.6**k * 0.4 ** (10 - k) for k in range(7, 11)), abs_tol=1e-5)
+    assert {n for n, r in got.items() if r.accepted} == {"combo__a__b/1"}
