@@ -1,8 +1,8 @@
 """HTML extraction by layout-aware rendering.
 
-A small tree builder (void elements, implied end tags, raw-text elements) makes a tree of each page; hidden
-elements are dropped while it is built. The renderer then sets all visible text: paragraphs and headings with a blank line
-around, other blocks on their own lines, list items with markers and indents, table cells in aligned columns, preformatted text as it is.
+A small tree builder (void elements, implied end tags, raw-text elements) makes a tree of each page; elements without display
+are dropped while it is built, and so is text of hidden visibility, which a descendant may set back. Of an svg the text elements are set, of a select the shown
+option or, for a list box, all. The renderer then sets all visible text: paragraphs and headings with a blank line around, other blocks on their own lines, list items with markers and indents, table cells in aligned columns, preformatted text as it is.
 One pass over the pages in Arrow batches, no shuffle.
 """
 
@@ -20,11 +20,17 @@ from . import shared
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_DISPLAY_NONE = re.compile(r"(?<![\w-])display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(visible|initial|hidden|collapse)", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title iframe noembed noframes object datalist select svg math audio video canvas".split())
+HIDDEN = frozenset("head script style template noscript title iframe noembed noframes object datalist audio video canvas".split())
+#: What is never drawn in an svg or a formula; within an svg only text and foreign objects have text.
+_UNDRAWN = {"svg": frozenset("title desc metadata style script defs symbol clippath mask pattern marker".split()), "math": frozenset(["annotation", "annotation-xml"])}
+#: Below these elements of svg and math the content is html again, and these tags of html end an svg or formula elsewhere.
+_INTEGRATION = {"svg": frozenset(["foreignobject", "desc", "title"]), "math": frozenset("mi mo mn ms mtext annotation-xml".split())}
+_BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure fieldset hr".split())
 BLOCKS = SPACED | frozenset("html body div article section nav main header footer aside address form li dt dd tr td th thead tbody tfoot caption figcaption details summary legend center hgroup search dialog".split())
 _ENDS_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main nav ol p pre search section table ul dd dt".split())
@@ -47,10 +53,12 @@ MAX_DEPTH = 150
 
 
 class Node:
-    __slots__ = ("attributes", "children", "hidden", "tag")
+    """hidden: without display, so dropped. visible, muted: whether own text is drawn. foreign: svg or math around it."""
 
-    def __init__(self, tag: str, attributes: str = "", hidden: bool = False):
-        self.tag, self.attributes, self.hidden = tag, attributes, hidden
+    __slots__ = ("attributes", "children", "foreign", "hidden", "muted", "tag", "visible")
+
+    def __init__(self, tag: str, attributes: str = "", hidden: bool = False, visible: bool = True, foreign: str = "", muted: bool = False):
+        self.tag, self.attributes, self.hidden, self.visible, self.foreign, self.muted = tag, attributes, hidden, visible, foreign, muted
         self.children: list[Node | str] = []
 
     def get(self, name: str) -> str | None:
@@ -60,19 +68,22 @@ class Node:
         return None
 
 
-def _is_hidden(tag: str, attributes: str) -> bool:
-    if tag in HIDDEN:
-        return True
-    if not attributes.strip():
-        return False
+def _style(attributes: str) -> tuple[bool, bool | None]:
+    """Whether an element has no display, and its own visibility (None: inherited)."""
     low = attributes.lower()
-    if "hidden" not in low and "none" not in low and "collapse" not in low:
-        return False
+    if "hidden" not in low and "none" not in low and "visib" not in low:
+        return False, None
+    gone, visible = False, None
     for m in _ATTRIBUTE.finditer(attributes):
         name = m[1].lower()
-        if name == "hidden" or (name == "style" and _HIDING.search(unescape(m[2] or m[3] or m[4] or ""))):
-            return True
-    return False
+        if name == "hidden":
+            gone = True
+        elif name == "style":
+            value = unescape(m[2] or m[3] or m[4] or "")
+            gone = gone or bool(_DISPLAY_NONE.search(value))
+            for v in _VISIBILITY.findall(value):
+                visible = v.lower() in ("visible", "initial")
+    return gone, visible
 
 
 def parse(html: str) -> Node:
@@ -85,8 +96,11 @@ def parse(html: str) -> Node:
     def close(i: int) -> None:
         del stack[i:]
 
+    def drawn(n: Node) -> bool:
+        return n.visible and not n.hidden and not n.muted
+
     def text(a: int, b: int) -> None:
-        if b > a and not stack[-1].hidden:
+        if b > a and drawn(stack[-1]):
             s = html[a:b]
             stack[-1].children.append(unescape(s) if "&" in s else s)
 
@@ -94,7 +108,7 @@ def parse(html: str) -> Node:
         text(at, m.start())
         at = m.end()
         if m[2] is None:
-            if m[0].startswith("<![CDATA[") and not stack[-1].hidden:
+            if m[0].startswith("<![CDATA[") and drawn(stack[-1]):
                 stack[-1].children.append(m[0][9:].removesuffix("]]>"))
             continue
         tag = m[2].lower()
@@ -116,11 +130,20 @@ def parse(html: str) -> Node:
             if tag == "body":
                 while len(stack) > 1 and stack[-1].tag == "head":
                     stack.pop()
-                if _is_hidden(tag, m[3]):
-                    root.hidden = True
+                gone, visible = _style(m[3])
+                root.hidden = root.hidden or gone
+                root.visible = root.visible if visible is None else visible
             continue
         if stack[-1].tag == "head" and tag not in ("meta", "link", "base", "title", "style", "script", "noscript", "template"):
             stack.pop()  # the head ends where its content can't be
+        if tag in _BREAKOUT and stack[-1].foreign and stack[-1].tag not in _INTEGRATION[stack[-1].foreign]:
+            while stack[-1].foreign and stack[-1].tag not in _INTEGRATION[stack[-1].foreign]:
+                stack.pop()
+        if tag in ("input", "textarea", "select"):  # none of these can be in a select
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag == "select":
+                    close(i)
+                    break
         if tag in _ENDS_P:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
@@ -143,21 +166,30 @@ def parse(html: str) -> Node:
                         break
                     if stack[i].tag == "table":
                         break
-        hidden = stack[-1].hidden or _is_hidden(tag, m[3])
+        above = stack[-1]
+        gone, visible = _style(m[3])
+        foreign = tag if tag in ("svg", "math") else "" if above.foreign and above.tag in _INTEGRATION[above.foreign] else above.foreign
+        if tag in ("option", "optgroup"):  # a hidden option is shown while it is the selected one
+            gone = False
+        hidden = above.hidden or gone or (tag in HIDDEN if not foreign else tag in _UNDRAWN[foreign])
+        visible = visible if visible is not None else above.visible and not (foreign == "math" and tag == "mphantom")
+        muted = foreign == "svg" and (tag == "svg" or above.muted) and tag not in ("text", "foreignobject")
+        if foreign and m[3].rstrip().endswith("/"):
+            continue
         if tag in RAW:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
             stop = end.start() if end else size
-            if tag in ("textarea", "xmp") and not hidden:
+            if tag in ("textarea", "xmp") and not hidden and visible:
                 node = Node("pre")
                 node.children.append(unescape(html[at:stop]) if tag == "textarea" else html[at:stop])
                 stack[-1].children.append(node)
             at = min(size, (html.find(">", stop) + 1) or size) if end else size
             continue
         if tag in VOID:
-            if not hidden:
+            if not hidden and visible:
                 stack[-1].children.append(Node(tag, m[3]))
             continue
-        node = Node(tag, m[3], hidden)
+        node = Node(tag, m[3], hidden, visible, foreign, muted)
         if not hidden:
             stack[-1].children.append(node)
         if len(stack) < MAX_DEPTH:
@@ -203,12 +235,47 @@ class _Flow:
         self.gap = max(self.gap, gap)
 
 
+def _shown(select: Node) -> list[str]:
+    """Texts of a select that are seen: those of a list box, or the one selected, which is the first that can be unless marked."""
+    size = select.get("size") or ""
+    box = select.get("multiple") is not None or (size.isdecimal() and int(size) > 1)
+    out: list[str] = []
+    options: list[tuple[Node, bool]] = []
+
+    def label(n: Node) -> str:
+        parts: list[str] = []
+        _plain(n, parts)
+        return ((n.get("label") if n.visible else None) or "".join(parts)).strip()
+
+    def walk(n: Node, off: bool, gone: bool) -> None:
+        for c in n.children:
+            if isinstance(c, str):
+                continue
+            dropped = gone or _style(c.attributes)[0]
+            if c.tag == "option":
+                options.append((c, off or c.get("disabled") is not None))
+                if not dropped:
+                    out.append(label(c))
+            else:
+                if c.tag == "optgroup" and c.visible and not dropped and (name := c.get("label")):
+                    out.append(name)
+                walk(c, off or (c.tag == "optgroup" and c.get("disabled") is not None), dropped)
+
+    walk(select, False, False)
+    if not box:
+        chosen = [o for o, _ in options if o.get("selected") is not None][-1:] or [o for o, off in options if not off][:1]
+        out = [label(o) for o in chosen]
+    return [x for x in out if x]
+
+
 def _plain(node: Node, out: list[str]) -> None:
     for c in node.children:
         if isinstance(c, str):
             out.append(c)
         elif c.tag == "br":
             out.append("\n")
+        elif c.tag == "select":
+            out.append("\n".join(_shown(c)))
         else:
             _plain(c, out)
 
@@ -296,6 +363,15 @@ def _render(children: list[Node | str], flow: _Flow) -> None:
             kind = (c.get("type") or "text").lower()
             if kind in ("button", "submit", "reset") and (value := c.get("value")):
                 flow.text(value)
+        elif tag == "select":
+            for k, x in enumerate(_shown(c)):
+                if k:
+                    flow.line()
+                flow.text(x)
+        elif tag == "text" and c.foreign:
+            flow.block(0)
+            _render(c.children, flow)
+            flow.block(0)
         elif tag == "wbr" or tag in VOID:
             continue
         elif tag == "pre":

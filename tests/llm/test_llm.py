@@ -382,3 +382,23 @@ def test_html_survives_anything(spark):
     df = spark.createDataFrame([(1, "u", None), (2, None, "<p>a"), (2, None, "<p>a"), (None, "u", "")], "page_id bigint, url string, html string").withColumn("text", F.lit(0))
     assert Counter(r.text for r in html_text.html_text(df).collect()) == Counter([None, "a", "a", ""])
     assert html_text.html_text(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> holds", "so x=2 holds"),
+    ("<svg><title>n</title><desc>n</desc><path d='M0'/><style>n</style>n<g><text x='1'>Sales <tspan>2024</tspan></text></g><text>Cost</text></svg>", "Sales 2024\nCost"),
+    ("<svg>" + "<path d='M0'/>" * 300 + "<text>deep</text></svg><p>after", "deep\n\nafter"),
+    ("<svg><path d='M0'><p>left open", "left open"),
+    ("<p>at <select><option>a<option selected>b<option>c</select> end", "at b end"),
+    ("<select><option disabled>n<option>a<option>b</select>", "a"),
+    ("<select><option hidden selected>Choose<option>a</select>", "Choose"),
+    ("<select multiple><optgroup label='G'><option>a<option>b</select>", "G\na\nb"),
+    ("<div style='visibility:hidden'>n<p style='visibility:visible'>v</p>n</div>", "v"),
+    ("<div style='display:none'>n<p style='visibility:visible'>n</p></div>v", "v"),
+    ("<p style='backface-visibility:hidden'>v</p>", "v"),
+    ("<svg style='visibility:hidden'><text>n</text><text style='visibility:visible'>v</text></svg>", "v"),
+])
+def test_html_visible_text_of_embedded_elements(page, want):
+    from candela.llm import html_text
+
+    assert html_text.render(page) == want
