@@ -356,3 +356,19 @@ def test_false_discovery_runs_over_pairs(spark, monkeypatch):
     assert asked == [(True, Q.ALL)]
     assert math.isclose(got["p/1"].p_value, sum(math.comb(10, k) * 0.6**k * 0.4 ** (10 - k) for k in range(7, 11)), abs_tol=1e-5)
     assert {n for n, r in got.items() if r.accepted} == {"combo__a__b/1"}
+
+
+def test_autopsies_test_every_feature(spark, monkeypatch):
+    from candela.operators import features as X
+    from candela.plans import discovery_queries as Q
+
+    asked = []
+    monkeypatch.setattr(Q, "bars", lambda s, d, timeframes: candles(spark, walk(60)))
+    monkeypatch.setattr(Q, "trades", lambda s, d, timeframes: asked.append(timeframes) or trade_rows(spark, ["win", "loss"] * 10, idx=35))
+    monkeypatch.setattr(Q.D, "mann_whitney", lambda t, long, **k: long)
+    monkeypatch.setattr(Q.D, "autopsy", lambda t, long, **k: long)
+    monkeypatch.setattr(Q.D, "spearman_by_era", lambda long, labels, sizes: long)
+    for name in ("mann_whitney_all", "mann_whitney_autopsy", "spearman_by_era_all"):
+        got = {r.feature for r in catalog.QUERIES[name](spark, DATA).select("feature").distinct().collect()}
+        assert {"f_macd_line_norm", "f_macd_hist_norm", "f_adx_14", "f_rsi_14"} <= got <= set(X.FEATURES)
+    assert asked == [Q.ALL, Q.ALL]
