@@ -1,7 +1,7 @@
 """WARC transaction assembly: request, response and metadata records joined to captures.
 
 Records of a transaction name each other by WARC-Concurrent-To. Identifiers alone are joined to find the response
-that each other record belongs to, directly, through one record between (metadata of a request), or because the response
+that each other record belongs to, directly, through any number of records between (metadata of a request), or because the response
 names its request. Then the records, with their blocks, are grouped once by that response: one shuffle of the blocks.
 """
 
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
+#: concurrent_to has all identifiers that the record names, with a space between.
 RECORDS = "record_id string, warc_type string, concurrent_to string, target_uri string, warc_date string, content_type string, block string"
 _COLUMNS = [c.split()[0] for c in RECORDS.split(", ")]
 #: Types of records that a capture is about.
@@ -33,7 +34,9 @@ def _parse(stream: io.BufferedIOBase) -> Iterator[dict]:
         head: dict[str, str] = {}
         while (line := stream.readline()).strip():
             name, _, value = line.decode("utf-8", "replace").partition(":")
-            head[name.strip().lower()] = value.strip()
+            name, value = name.strip().lower(), value.strip()
+            # the one header that may repeat
+            head[name] = f"{head[name]} {value}" if name == "warc-concurrent-to" and name in head else value
         block = stream.read(int(head.get("content-length", 0)))
         yield {
             "record_id": head.get("warc-record-id"), "warc_type": head.get("warc-type"), "concurrent_to": head.get("warc-concurrent-to"), "target_uri": head.get("warc-target-uri"),
@@ -109,19 +112,23 @@ def assemble(records: DataFrame) -> DataFrame:
     Records without identifier and reference, and types other than request, metadata and those of CAPTURES, are left out. Extra columns are ignored.
     """
     r = records.select(*[records[c] for c in _COLUMNS]).where("coalesce(record_id, concurrent_to) is not null")
-    ids = r.select("record_id", "warc_type", "concurrent_to")
+    ids = r.select("record_id", "warc_type", F.explode_outer(F.split("concurrent_to", " +")).alias("concurrent_to"))
+    first = F.split("concurrent_to", " +")[0]
     main = F.col("warc_type").isin(*CAPTURES)
     roots = ids.where(main).where("record_id is not null").select(F.col("record_id").alias("root")).distinct()
     other = ids.where(F.col("warc_type").isin("request", "metadata")).where("record_id is not null")
     up = other.where("concurrent_to is not null").select(F.col("record_id").alias("child"), F.col("concurrent_to").alias("parent"))
     down = ids.where(main).where("concurrent_to is not null and record_id is not null").select(F.col("concurrent_to").alias("child"), F.col("record_id").alias("parent"))
     edges = up.unionByName(down).where("child <> parent").distinct()
-    one = edges.join(roots, edges["parent"] == roots["root"], "left").select("child", "parent", "root")
-    via = one.where("root is not null").groupBy("child").agg(F.min("root").alias("near"))
-    two = one.where("root is null").join(via.withColumnRenamed("child", "middle"), F.col("parent") == F.col("middle")).select("child", F.col("near").alias("far"))
-    found = via.join(two.groupBy("child").agg(F.min("far").alias("far")), "child", "full").select(F.col("child"), F.coalesce("near", "far").alias("root"))
-    mains = r.where(main).select(F.coalesce("record_id", "concurrent_to").alias("capture_id"), "*")
-    rest = r.where(F.col("warc_type").isin("request", "metadata")).join(found, F.col("record_id") == F.col("child"), "left").select(F.coalesce("root", "concurrent_to", "record_id").alias("capture_id"), *_COLUMNS)
+    # nearest first: each round adds the records that name one found before, so it ends with the longest chain
+    edges = shared.written(edges, "edges")
+    new = found = shared.written(edges.join(roots, edges["parent"] == roots["root"]).groupBy("child").agg(F.min("root").alias("root")), "found")
+    while not new.isEmpty():
+        step = edges.join(new.select(F.col("child").alias("parent"), "root"), "parent").join(found.select("child"), "child", "left_anti")
+        new = shared.written(step.groupBy("child").agg(F.min("root").alias("root")), "found")
+        found = found.unionByName(new)
+    mains = r.where(main).select(F.coalesce(F.col("record_id"), first).alias("capture_id"), "*")
+    rest = r.where(F.col("warc_type").isin("request", "metadata")).join(found, F.col("record_id") == F.col("child"), "left").select(F.coalesce(F.col("root"), first, F.col("record_id")).alias("capture_id"), *_COLUMNS)
     cut = F.locate("\r\n\r\n", F.col("block"))
     http = F.col("content_type").startswith("application/http") & (cut > 0)
     body = F.struct(

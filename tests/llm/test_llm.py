@@ -402,3 +402,15 @@ def test_html_visible_text_of_embedded_elements(page, want):
     from candela.llm import html_text
 
     assert html_text.render(page) == want
+
+
+def test_warc_chains_and_several_references(spark, tmp_path):
+    def record(kind, rid, to):
+        named = "".join(f"WARC-Concurrent-To: {t}\r\n" for t in to)
+        return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {rid}\r\n{named}Content-Length: 1\r\n\r\nx\r\n\r\n".encode()
+
+    parts = [("response", "<r>", []), ("request", "<q>", ["<r>"]), ("metadata", "<m1>", ["<q>"]), ("metadata", "<m2>", ["<m1>"]), ("metadata", "<m3>", ["<m2>"]), ("metadata", "<n>", ["<r>", "<gone>"]), ("metadata", "<o1>", ["<o2>"]), ("metadata", "<o2>", ["<o1>"])]
+    (tmp_path / "z.warc").write_bytes(b"".join(record(*p) for p in parts))
+    out = {r.capture_id: r for r in warc.assemble(warc.read_warc(spark, [str(tmp_path / "z.warc")])).collect()}
+    assert [m.record_id for m in out["<r>"].metadata] == ["<m1>", "<m2>", "<m3>", "<n>"] and len(out["<r>"].requests) == 1
+    assert set(out) == {"<r>", "<o1>", "<o2>"} and out["<o1>"].response is None
