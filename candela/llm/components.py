@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from . import shared
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the least node of its component.
 
     A round is two aggregations over at most as many rows as there are edges; their number grows with the
-    logarithm of the longest path. Each round is checkpointed, and the loop ends when the edges no longer change.
+    logarithm of the longest path. Each round is checkpointed, and the loop ends only when the edges no longer change.
     """
 
     def state(e: DataFrame):
@@ -20,7 +20,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
     e = shared.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     now = state(e)
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

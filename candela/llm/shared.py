@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -10,18 +12,45 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _made: dict[str, str] = {}
+#: The identifier that stands for a null doc_id, so that it comes last.
+LAST = (1 << 63) - 1
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; only where it is unset, as in tests, one of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
+    """The folder that spark.checkpoint.dir names, or that the context was given; an own temporary one only in local mode, as in tests."""
     context = spark.sparkContext
-    if context.applicationId not in _made:
-        _made[context.applicationId] = tempfile.mkdtemp(prefix="candela-")
-        context.setCheckpointDir(_made[context.applicationId])
-    return _made[context.applicationId]
+    at = spark.conf.get("spark.checkpoint.dir", None) or _made.get(context.applicationId) or context.getCheckpointDir()
+    if not at:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        at = _made[context.applicationId] = tempfile.mkdtemp(prefix="candela-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
+def identifier(docs: DataFrame, name: str = "doc_id") -> Column:
+    """The integer identifier column as bigint, LAST for null (so LAST itself counts as null). Another type is refused, since its order isn't that of numbers."""
+    kind = docs.select(docs[name].alias("x")).dtypes[0][1]
+    if kind not in _WHOLE and kind != "void":
+        raise TypeError(f"{name} must be an integer column, not {kind}")
+    return F.coalesce(docs[name].cast("bigint"), F.lit(LAST))
+
+
+def in_order(row: Column | str) -> Column:
+    """A string that orders rows of any type, maps included; equal for equal rows."""
+    return F.to_json(F.struct(row))
+
+
+def file_system(path: str):
+    """The pyarrow file system of a path or URI, and the path in it; for tasks, which have no session."""
+    from pyarrow import fs
+
+    if path.startswith("file:") or "://" not in path:
+        return fs.LocalFileSystem(), re.sub("^file:/*", "/", path)
+    return fs.FileSystem.from_uri(path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

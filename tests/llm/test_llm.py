@@ -6,6 +6,7 @@ import gzip
 import random
 import re
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -414,3 +415,71 @@ def test_warc_chains_and_several_references(spark, tmp_path):
     out = {r.capture_id: r for r in warc.assemble(warc.read_warc(spark, [str(tmp_path / "z.warc")])).collect()}
     assert [m.record_id for m in out["<r>"].metadata] == ["<m1>", "<m2>", "<m3>", "<n>"] and len(out["<r>"].requests) == 1
     assert set(out) == {"<r>", "<o1>", "<o2>"} and out["<o1>"].response is None
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ("<div>" * 10_000 + "<p hidden>SECRET</p>tail", "tail"),
+    ("<table><tr><td rowspan=2>A<td>b<tr><td>c</table>", "A  b\n   c"),
+    ("<table><tr><td>東京<td>x<tr><td>abcd<td>y</table>", "東京  x\nabcd  y"),
+    ("<table><tr><td><p>a<p>b<td>c</table>", "a  c\n\nb"),
+    ("<p title='a>b'>x</p><p don't>y", "x\n\ny"),
+    ("<blockquote><p>a<p>b</blockquote>c", "  a\n\n  b\n\nc"),
+])
+def test_html_layout(page, want):
+    assert html_text.render(page) == want
+
+
+def test_html_is_linear_in_any_depth():
+    import time
+
+    began = time.time()
+    assert html_text.render("<a " * 400_000).startswith("<a <a")
+    assert time.time() - began < 1
+    for piece, text in (("<div>", ""), ("<ul><li>", ""), ("<table><tr><td>x<td>", ""), ("<blockquote>q", ""), ("<svg>", ""), ("<p><table>", "")):
+        out = html_text.render(piece * 20_000 + text + "<i hidden>SECRET</i>end")
+        assert "SECRET" not in out and out.endswith("end") and len(out) < 60 * len(piece) * 20_000
+
+
+class Visible(HTMLParser):
+    """Words of well-formed pages in their order, without those of hidden elements."""
+
+    def __init__(self):
+        super().__init__()
+        self.words, self.hidden = [], []
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        if tag not in html_text.VOID:
+            self.hidden.append(bool(self.hidden and self.hidden[-1]) or "hidden" in a or "display:none" in (a.get("style") or "") or tag in ("script", "style"))
+
+    def handle_endtag(self, tag):
+        self.hidden.pop()
+
+    def handle_data(self, data):
+        if not (self.hidden and self.hidden[-1]):
+            self.words += data.split()
+
+
+def test_html_words_like_another_parser():
+    rng = random.Random(37)
+    count = 0
+
+    def tree(depth):
+        nonlocal count
+        out = ""
+        for _ in range(rng.randrange(1, 4)):
+            count += 1
+            kind = rng.randrange(8)
+            if depth == 0 or kind < 3:
+                out += rng.choice([f" w{count} ", f" w{count}&amp;x<br>", f"<!-- n{count} --> ", f"<script>n{count}</script> "])
+            else:
+                tag, inner = rng.choice(["div", "section", "b", "blockquote", "span"]), tree(depth - 1)
+                how = rng.choice(["", "", " hidden", " style='display:none'", " class=\"a>b\""])
+                out += f"<{tag}{how}>{inner}</{tag}> " if kind < 6 else f"<ul{how}><li>{inner}</li></ul> " if kind == 6 else f"<table{how}><tr><td>{inner}</td></tr></table> "
+        return out
+
+    for _ in range(200):
+        page = tree(6)
+        other = Visible()
+        other.feed(page)
+        assert [w for w in html_text.render(page).split() if w != "-"] == other.words, page
