@@ -93,9 +93,10 @@ def own_column(df: DataFrame, name: str) -> Column:
     return df[name] if name.lower() in [c.lower() for c in df.columns] else F.lit(None)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """df written as a Parquet table in the shared folder and read again; cuts the lineage and lets later reads prune columns."""
     spark = df.sparkSession
     at = scratch(spark, name)
-    df.write.parquet(at)
+    writer = df.write.option("compression", compression) if compression else df.write
+    writer.parquet(at)
     return spark.read.schema(df.schema).parquet(at)

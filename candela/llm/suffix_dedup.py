@@ -2,15 +2,16 @@
 
 Words between ASCII white space are the symbols. Every window of min_words words is represented by the least hash of its
 ``GRAM``-word grams (its minimizer), so equal windows have equal minimizers; runs of windows with one minimizer are a piece. Only
-minimizers that more than one document has can hold a repeat: their pieces go, by minimizer, to the tasks, which therefore hold
-all occurrences of every window they see, and no window is looked at twice.
+minimizers that occur more than once can hold a repeat. A minimizer that more than ``HOT`` documents have, as those of a licence passage, is replaced by a hash of the
+whole window for each of its windows: their places then spread over tasks, and the windows that straddle the passage's ends, each in one document alone, drop out.
+Equal pieces are aggregated, in part before they are shuffled, to one text with its first place. So a task gets the distinct pieces of its minimizers, at most about ``HOT`` of them for each, and no window is looked at twice.
 
 A task builds, for each collection of distinct pieces, the multi-document Burrows-Wheeler transform column-wise: round j inserts,
 for every piece of at least j words, the suffix of its last j words at once, at the place that the previous rounds' order gives,
 and updates the longest common prefixes there and at the follower, from range minima over the previous round's. The collection's
 columns (transform, common prefixes, links, suffix numbers) are read from one sequential file in the shared folder and written to the
-next in each round. Intervals of suffixes with a common prefix of min_words or more are the repeated windows; their occurrences
-merge to passages. The first occurrence, by (doc_id, place), is the keeper.
+next in each round; a collection is bounded (``COLLECTION``), so a round holds it in memory in between. Intervals of suffixes with a common prefix of min_words or more are the repeated windows. Stretches of
+windows with one keeper are joined back to all places of their piece, and merge to passages. The first occurrence, by (doc_id, place), is the keeper.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +32,15 @@ from . import textkit as K
 MIN_WORDS, GRAM = 50, 12
 #: Pieces are gathered to collections of about so many symbols; a minimizer's pieces are never parted.
 COLLECTION = 1_200_000
-_LAST = (1 << 63) - 1
+#: A minimizer of more documents than this is parted by whole windows; raised with the corpus so that at most ``PARTED`` are broadcast.
+HOT, PARTED = 50_000, 500_000
+_LAST = shared.LAST
 _SPACES = re.compile(rb"[\t-\r\x1c-\x20]+")
 
 
-def pieces(data: np.ndarray, limits: np.ndarray, min_words: int = MIN_WORDS, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Pieces of texts: (text, minimizer, first word, windows), and the word starts, ends and limits."""
+def pieces(data: np.ndarray, limits: np.ndarray, min_words: int = MIN_WORDS, gram: int = GRAM, hot: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Pieces of texts: (text, minimizer, first word, windows), and the word starts, ends and limits. The windows of hot minimizers have their own hash instead."""
+    gram = min(gram, min_words)
     starts, ends, lim = K.words(data, limits, K.SPACE)
     h = K.hashes(data, starts, ends)
     g = K.grams(h, gram)
@@ -55,6 +60,8 @@ def pieces(data: np.ndarray, limits: np.ndarray, min_words: int = MIN_WORDS, gra
         none = np.zeros(0, np.int64)
         return none, np.zeros(0, np.uint64), none, none, starts, ends, lim
     low, text = low[at], own[at]
+    if hot is not None and len(hot) and (parted := np.isin(low, hot)).any():
+        low[parted] = K.mix(K.grams(h, min_words)[at[parted]])
     new = np.ones(len(at), bool)
     new[1:] = (low[1:] != low[:-1]) | (text[1:] != text[:-1])
     # a run longer than the width (a repeated minimizer) is cut, so that pieces stay short
@@ -67,12 +74,10 @@ def pieces(data: np.ndarray, limits: np.ndarray, min_words: int = MIN_WORDS, gra
 class Columns:
     """The collection's columns, in one sequential file per round in the shared folder."""
 
-    KINDS = (("bwt", np.int32), ("lcp", np.uint8), ("link", np.int32), ("piece", np.int32))
+    KINDS = (("bwt", np.int32), ("lcp", np.int32), ("link", np.int32), ("piece", np.int32))
 
     def __init__(self, folder: str):
-        from pyarrow import fs
-
-        self.system, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        self.system, base = shared.file_system(folder)
         self.base = f"{base}/bwt-{uuid.uuid4().hex}"
         self.system.create_dir(self.base)
         self.round, self.size = -1, 0
@@ -96,7 +101,7 @@ class Columns:
 def _least(table: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Range minima over [a, b], a <= b, from a table of minima of windows of 1, 2, 4, ..."""
     level = np.frexp((b - a + 1).astype(np.float64))[1] - 1
-    out = np.empty(len(a), np.uint8)
+    out = np.empty(len(a), np.int32)
     for k in np.unique(level):
         at = level == k
         out[at] = np.minimum(table[k][a[at]], table[k][b[at] - (1 << int(k)) + 1])
@@ -106,14 +111,14 @@ def _least(table: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def collection_bwt(symbols: np.ndarray, limits: np.ndarray, columns: Columns) -> list[np.ndarray]:
     """[transform, common prefix with the suffix above, link, piece] of all suffixes of the pieces, in order.
 
-    symbols are positive; 0 ends every piece, an earlier piece's end being the lesser, and ends don't count for common prefixes. Common prefixes are at most 255.
+    symbols are positive; 0 ends every piece, an earlier piece's end being the lesser, and ends don't count for common prefixes.
     link is the row of the suffix without its first symbol.
     """
     n = len(limits) - 1
     sizes = np.diff(limits)
     rows = np.arange(n, dtype=np.int64)  # of the pieces' last inserted suffixes
     last = np.where(sizes > 0, symbols[np.maximum(limits[1:] - 1, 0)] if len(symbols) else 0, 0)
-    columns.write([last, np.zeros(n, np.uint8), np.full(n, -1, np.int32), np.arange(n)])
+    columns.write([last, np.zeros(n, np.int32), np.full(n, -1, np.int32), np.arange(n)])
     first = np.zeros(n, np.int64)  # first symbols by row; sorted, so runs stand for them
     for j in range(1, int(sizes.max(initial=0)) + 1):
         bwt, lcp, link, piece = columns.read()
@@ -137,11 +142,10 @@ def collection_bwt(symbols: np.ndarray, limits: np.ndarray, columns: Columns) ->
         mate[1:] = at[1:] == at[:-1]
         above_link[1:][mate[1:]] = p[:-1][mate[1:]]
         above_first[1:][mate[1:]] = c[:-1][mate[1:]]
-        new_lcp = np.zeros(size, np.uint8)
+        new_lcp = np.zeros(size, np.int32)
         same = np.flatnonzero(above_first == c)
         if len(same):
-            x = _least(table, above_link[same] + 1, p[same])
-            new_lcp[same] = np.where(x == 255, 255, x + np.uint8(1))
+            new_lcp[same] = _least(table, above_link[same] + 1, p[same]) + 1
         # the old rows that now follow a new one
         tail = np.ones(size, bool)
         tail[:-1] = ~mate[1:]
@@ -149,8 +153,7 @@ def collection_bwt(symbols: np.ndarray, limits: np.ndarray, columns: Columns) ->
         below = below[first[at[below]] == c[below]]
         lcp = lcp.copy()
         if len(below):
-            x = _least(table, p[below] + 1, link[at[below]].astype(np.int64))
-            lcp[at[below]] = np.where(x == 255, 255, x + np.uint8(1))
+            lcp[at[below]] = _least(table, p[below] + 1, link[at[below]].astype(np.int64)) + 1
         # rows move down by what is inserted above them
         moved = np.searchsorted(at, np.arange(len(bwt)), "right")
         prev = np.where(sizes[live] > j, symbols[np.maximum(limits[live + 1] - j - 1, 0)], 0)
@@ -187,99 +190,105 @@ def repeated(symbols: np.ndarray, limits: np.ndarray, min_words: int, folder: st
     return window, piece[at].astype(np.int64), np.diff(limits)[piece[at]] - size[at]
 
 
-def passages(rows: list[tuple[int, int, int, int, str]], min_words: int, folder: str) -> list[tuple]:
-    """Passages of one collection: (id, h, start, stop, keeper, first_id), in words.
+def stretches(rows: list[tuple], min_words: int, folder: str) -> tuple[np.ndarray, ...]:
+    """Repeated stretches of one collection: (row, first window, window after the last, keeper id, keeper h, keeper base), as arrays.
 
-    rows: (id, h, first word, windows, text) of its pieces. A window counts if two documents, told apart by (id, h), have it.
+    rows: (id, h, place, many, text) of its distinct pieces: the first document and place of each, and whether another document has it. A window counts if two documents,
+    told apart by (id, h), have it. Its keeper is its first place; the base of a stretch is the place that its piece would have there.
     """
     codes: dict[str, int] = {}
-    texts: dict[str, int] = {}
-    numbers, flat, sizes = [], [], []
+    flat: list[int] = []
+    sizes = []
     for r in rows:
-        k = texts.setdefault(r[4], len(texts))
-        numbers.append(k)
-        if k == len(sizes):
-            w = [codes.setdefault(x, len(codes) + 1) for x in r[4].split(" ")]
-            flat += w
-            sizes.append(len(w))
+        w = [codes.setdefault(x, len(codes) + 1) for x in r[4].split(" ")]
+        flat += w
+        sizes.append(len(w))
     limits = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])
     window, piece, offset = repeated(np.array(flat, np.int32), limits, min_words, folder)
-    # windows of every occurrence
-    number = np.array(numbers, np.int64)
-    order = np.argsort(number, kind="stable")
-    counts = np.bincount(number, minlength=len(sizes))
-    head = np.concatenate([[0], np.cumsum(counts)])
-    times = counts[piece]
-    which = np.repeat(np.arange(len(piece)), times)
-    row = order[np.repeat(head[piece], times) + np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)]
-    ids = np.array([r[0] for r in rows], np.int64)
-    hs = np.array([r[1] for r in rows], np.int64)
-    place = np.array([r[2] for r in rows], np.int64)[row] + offset[which]
-    w = window[which]
-    order = np.lexsort((place, hs[row], ids[row], w))
-    w, row, place = w[order], row[order], place[order]
-    i, h = ids[row], hs[row]
-    new = np.ones(len(w), bool)
-    new[1:] = w[1:] != w[:-1]
-    begin = np.flatnonzero(new)
-    group = np.cumsum(new) - 1
-    stop = np.append(begin[1:], len(w)) - 1
-    across = (i[begin] != i[stop]) | (h[begin] != h[stop])
-    first_id = i[begin][group]
+    if not len(window):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, none, none
+    ids, hs, places = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+    many = np.array([r[3] for r in rows], bool)
+    order = np.lexsort((places[piece] + offset, hs[piece], ids[piece], window))
+    window, piece, offset = window[order], piece[order], offset[order]
+    new = np.ones(len(window), bool)
+    new[1:] = window[1:] != window[:-1]
+    begin, group = np.flatnonzero(new), np.cumsum(new) - 1
+    first, last = piece[begin], piece[np.append(begin[1:], len(window)) - 1]
+    across = (ids[first] != ids[last]) | (hs[first] != hs[last]) | np.logical_or.reduceat(many[piece], begin)
     keep = across[group]
-    keeper = new[keep]
-    i, h, place, first_id = i[keep], h[keep], place[keep], first_id[keep]
-    # neighbouring windows of a document with one standing make a passage
-    order = np.lexsort((place, first_id, keeper, h, i))
-    i, h, place, first_id, keeper = i[order], h[order], place[order], first_id[order], keeper[order]
-    new = np.ones(len(i), bool)
-    new[1:] = (i[1:] != i[:-1]) | (h[1:] != h[:-1]) | (first_id[1:] != first_id[:-1]) | (keeper[1:] != keeper[:-1]) | (place[1:] != place[:-1] + 1)
+    piece, offset, first, at = piece[keep], offset[keep], first[group][keep], offset[begin][group][keep]
+    base = places[first] + at - offset
+    order = np.lexsort((offset, piece))
+    piece, offset, first, base = piece[order], offset[order], first[order], base[order]
+    i, h = ids[first], hs[first]
+    new = np.ones(len(piece), bool)
+    new[1:] = (piece[1:] != piece[:-1]) | (offset[1:] != offset[:-1] + 1) | (i[1:] != i[:-1]) | (h[1:] != h[:-1]) | (base[1:] != base[:-1])
     a = np.flatnonzero(new)
-    b = np.append(a[1:], len(i)) - 1
-    return list(zip(i[a].tolist(), h[a].tolist(), place[a].tolist(), (place[b[: len(a)]] + min_words).tolist(), keeper[a].tolist(), first_id[a].tolist())) if len(i) else []
+    b = np.append(a[1:], len(piece)) - 1
+    return piece[a], offset[a], offset[b[: len(a)]] + 1, i[a], h[a], base[a]
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, broadcast_rows: int = 50_000) -> DataFrame:
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, broadcast_rows: int = 5_000, hot: int = HOT, parted: int = PARTED) -> DataFrame:
     """Passages of docs that repeat across documents: doc_id, start_word, end_word (exclusive), is_first, first_doc_id.
 
-    A row is a stretch of one document in which every window of min_words words also stands in another document. is_first: the
+    A row is a stretch of one document in which every window of min_words words (any number from 1) also stands in another document. is_first: the
     stretch holds the first occurrences, those to keep; else first_doc_id has them. A document without such a passage has no row,
     so null, empty and short texts have none. Rows that repeat doc_id and text are one document; a null doc_id comes last. What repeats within one document only isn't reported.
+    Other columns are ignored; doc_id must be an integer column.
     """
+    if min_words < 1:
+        raise ValueError(f"min_words must be 1 or more, not {min_words}")
     spark = docs.sparkSession
     folder = shared.folder(spark)
-    key = {"id": F.coalesce(docs["doc_id"].cast("bigint"), F.lit(_LAST)), "h": F.xxhash64(docs["text"]), "text": docs["text"]}
+    key = {"id": shared.identifier(docs), "h": F.xxhash64(docs["text"]), "text": docs["text"]}
     base = docs.select(*[c.alias(n) for n, c in key.items()]).where("text is not null")
 
-    def minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, limits = K.buffers(batch.column(2))
-            for a, b in K.chunks(limits):
-                text, low, *_ = pieces(data[limits[a] : limits[b]], limits[a : b + 1] - limits[a], min_words, gram)
-                order = np.lexsort((low, text))
-                text, low = text[order], low[order]
-                one = np.ones(len(low), bool)
-                one[1:] = (low[1:] != low[:-1]) | (text[1:] != text[:-1])
-                at = pa.array(text[one] + a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(low[one].view(np.int64))], names=["id", "h", "m"])
-
-    marks = base.mapInArrow(minimizers, "id bigint, h bigint, m bigint")
-    by = Window.partitionBy("m")
-    d = F.xxhash64("id", "h")
-    hot = marks.withColumn("low", F.min(d).over(by)).withColumn("high", F.max(d).over(by)).where("low <> high")
+    def marks(parted_ones=None) -> DataFrame:
+        def minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hot_ones = parted_ones.value if parted_ones else None
+            for batch in batches:
+                data, limits = K.buffers(batch.column(2))
+                for a, b in K.chunks(limits):
+                    text, low, *_ = pieces(data[limits[a] : limits[b]], limits[a : b + 1] - limits[a], min_words, gram, hot_ones)
+                    order = np.lexsort((low, text))
+                    text, low = text[order], low[order]
+                    one = np.ones(len(low), bool)
+                    one[1:] = (low[1:] != low[:-1]) | (text[1:] != text[:-1])
+                    at = pa.array(text[one] + a)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(low[one].view(np.int64))], names=["id", "h", "m"])
+
+        return shared.written(base.mapInArrow(minimizers, "id bigint, h bigint, m bigint"), "marks")
+
+    def common(m: DataFrame) -> DataFrame:
+        """Minimizers of several documents and how many they are; the count is combined before the shuffle."""
+        return shared.written(m.groupBy("m").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1"), "common")
+
+    marked = marks()
+    several = common(marked)
+    # of all minimizers' documents at most 1 / least can be of one that has more than least, so the list is bounded
+    all_ = several.agg(F.sum("docs")).first()[0] or 0
+    least = max(hot, all_ // parted)
+    hottest = np.sort(np.array([r.m for r in several.where(F.col("docs") > least).select("m").collect()], np.int64).view(np.uint64))
+    parted_ones = spark.sparkContext.broadcast(hottest) if len(hottest) else None
+    if parted_ones:
+        marked = marks(parted_ones)
+        several = common(marked)
     # a document's list is bounded by its length
-    wanted = shared.written(hot.groupBy("id", "h").agg(F.collect_set("m").alias("ms")), "minimizers")
-    small = wanted.count() <= broadcast_rows // 10
+    wanted = shared.written(marked.join(several.select("m"), "m").groupBy("id", "h").agg(F.collect_set("m").alias("ms")), "minimizers")
+    small = wanted.count() <= broadcast_rows
     texts = base.join(F.broadcast(wanted) if small else wanted, ["id", "h"]).select("id", "h", "text", "ms")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot_ones = parted_ones.value if parted_ones else None
         for batch in batches:
             data, limits = K.buffers(batch.column(2))
             lists = batch.column(3)
             at, values = np.asarray(lists.offsets), lists.values.to_numpy().view(np.uint64)
             for a, b in K.chunks(limits):
                 part = data[limits[a] : limits[b]]
-                text, low, start, count, starts, ends, _ = pieces(part, limits[a : b + 1] - limits[a], min_words, gram)
+                text, low, start, count, starts, ends, _ = pieces(part, limits[a : b + 1] - limits[a], min_words, gram, hot_ones)
                 # membership by (text, minimizer), both sides sorted
                 own = np.repeat(np.arange(b - a), np.diff(at[a : b + 1])).astype(np.uint64)
                 with np.errstate(over="ignore"):
@@ -290,44 +299,50 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, broad
                     continue
                 start, count, text, low = start[k], count[k], text[k], low[k]
                 raw = part.tobytes()
-                words = [raw[starts[s] : ends[s + c + min_words - 2]] for s, c in zip(start.tolist(), count.tolist())]
+                words = [_SPACES.sub(b" ", raw[starts[s] : ends[s + c + min_words - 2]]) for s, c in zip(start.tolist(), count.tolist())]
+                keys = pa.array([blake2b(w, digest_size=16).digest() for w in words], pa.binary())
                 first = np.searchsorted(starts, limits[a : b + 1] - limits[a])
                 take = pa.array(text + a)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(low.view(np.int64)), pa.array(start - first[text], pa.int64()), pa.array(count, pa.int64()), pa.array([_SPACES.sub(b" ", w) for w in words], pa.binary()).cast(pa.string())],
-                    names=["id", "h", "m", "start", "windows", "piece"],
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(low.view(np.int64)), keys, pa.array(start - first[text], pa.int64()), pa.array(count, pa.int64()), pa.array(words, pa.binary()).cast(pa.string())],
+                    names=["id", "h", "m", "key", "start", "windows", "piece"],
                 )
 
-    found = texts.mapInArrow(cut, "id bigint, h bigint, m bigint, start bigint, windows bigint, piece string")
+    found = shared.written(texts.mapInArrow(cut, "id bigint, h bigint, m bigint, key binary, start bigint, windows bigint, piece string"), "pieces", compression="zstd")
+    document = F.struct("id", "h")
+    distinct = found.groupBy("m", "key").agg(F.min(F.struct("id", "h", "start")).alias("f"), (F.min(document) != F.max(document)).alias("many"), F.min("windows").alias("windows"), F.min("piece").alias("piece"))
+    distinct = distinct.select("m", "key", "f.id", "f.h", "f.start", "many", "windows", "piece")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        keys: list[tuple[int, bytes]] = []
         size, last = 0, None
 
         def done() -> pa.RecordBatch:
-            out = passages(rows, min_words, folder)
-            columns = list(zip(*out)) if out else [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["id", "h", "start", "stop", "first", "first_id"])
+            row, a, b, i, h, base = stretches(rows, min_words, folder)
+            m, k = [keys[x][0] for x in row.tolist()], [keys[x][1] for x in row.tolist()]
+            return pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(k, pa.binary()), *[pa.array(x, pa.int64()) for x in (a, b, i, h, base)]], names=["m", "key", "a", "b", "fid", "fh", "base"])
 
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(6)]
-            for i, h, m, s, c, t in zip(*columns):
+            for m, k, i, h, s, many, c, t in zip(*[batch.column(x).to_pylist() for x in range(8)]):
                 if m != last and size > COLLECTION:
                     yield done()
-                    rows, size = [], 0
+                    rows, keys, size = [], [], 0
                 last = m
-                if not rows or rows[-1][4] != t:  # equal pieces follow each other and count once
-                    size += c + min_words - 1
-                rows.append((i, h, s, c, t))
+                size += c + min_words - 1
+                rows.append((i, h, s, many, t))
+                keys.append((m, k))
         if rows:
             yield done()
 
-    placed = found.repartition("m").sortWithinPartitions("m", "piece")
-    parts = placed.mapInArrow(solve, "id bigint, h bigint, start bigint, stop bigint, first boolean, first_id bigint")
+    solved = distinct.repartition("m").sortWithinPartitions("m", "key").mapInArrow(solve, "m bigint, key binary, a bigint, b bigint, fid bigint, fh bigint, base bigint")
+    places = found.select("id", "h", "m", "key", "start").distinct().join(solved, ["m", "key"])
+    parts = places.select(
+        "id", "h", F.expr("start + a").alias("start"), F.expr(f"start + b + {min_words - 1}").alias("stop"), F.expr("id = fid and h = fh and start = base").alias("first"), F.col("fid").alias("first_id")
+    )
     # passages that overlap or touch at a piece's end are one
     order = Window.partitionBy("id", "h", "first", "first_id").orderBy("start", "stop")
-    islands = parts.distinct().withColumn("reach", F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("island", F.sum(F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)).over(order))
+    islands = parts.withColumn("reach", F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("island", F.sum(F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)).over(order))
     merged = islands.groupBy("id", "h", "first", "first_id", "island").agg(F.min("start").alias("start_word"), F.max("stop").alias("end_word"))
     none = lambda c: F.nullif(c, F.lit(_LAST))
     return merged.select(none(F.col("id")).alias("doc_id"), "start_word", "end_word", F.col("first").alias("is_first"), none(F.col("first_id")).alias("first_doc_id"))

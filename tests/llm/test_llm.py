@@ -181,7 +181,8 @@ def repeated_words(docs, n=50):
     return out
 
 
-def test_repeated_passages_like_brute_force(spark):
+@pytest.mark.parametrize("hot", [50_000, 3])
+def test_repeated_passages_like_brute_force(spark, hot):
     rng = random.Random(11)
     passages = [prose(rng, n) for n in (50, 51, 75, 140, 400)]
     docs = []
@@ -192,7 +193,7 @@ def test_repeated_passages_like_brute_force(spark):
         docs.append((i, rng.choice([" ", "  ", "\n"]).join(parts)))
     docs += [(100, passages[3]), (101, passages[3]), (102, "tick " * 300), (103, "tick " * 120), (104, " ".join(passages[0].split()[:49])), (105, None), (106, "")]
     got, first = defaultdict(set), defaultdict(set)
-    for r in suffix_dedup.repeats(documents(spark, docs)).collect():
+    for r in suffix_dedup.repeats(documents(spark, docs), hot=hot).collect():
         got[r.doc_id].update(range(r.start_word, r.end_word))
         if r.is_first:
             first[r.doc_id].update(range(r.start_word, r.end_word))
@@ -201,9 +202,41 @@ def test_repeated_passages_like_brute_force(spark):
             assert r.first_doc_id <= r.doc_id
     want = repeated_words(docs)
     assert {i: s for i, s in got.items() if s} == {i: s for i, s in want.items() if s}
+    keeper = {}  # the first document and place of each repeated window
+    for i, t in docs:
+        w = (t or "").split()
+        for k in range(len(w) - 49):
+            keeper.setdefault(tuple(w[k : k + 50]), (i, k))
+    stay = defaultdict(set)
+    for i, k in keeper.values():
+        if set(range(k, k + 50)) <= want[i]:
+            stay[i].update(range(k, k + 50))
+    assert {i: s for i, s in first.items() if s} == {i: s for i, s in stay.items() if s}
     assert all(i not in first for i in (101,)) and suffix_dedup.repeats(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 8, 300])
+def test_repeats_of_any_length(spark, n):
+    rng = random.Random(n)
+    passage = prose(rng, 310)
+    docs = [(1, prose(rng, 40) + " " + passage), (2, passage + " " + prose(rng, 40)), (3, prose(rng, 400)), (None, None), (4, "")]
+    rows = suffix_dedup.repeats(documents(spark, docs).withColumns({"m": F.lit(1), "key": F.lit(2), "h": F.lit(3)}), min_words=n).collect()
+    got = defaultdict(set)
+    for r in rows:
+        got[r.doc_id].update(range(r.start_word, r.end_word))
+    assert {i: s for i, s in got.items() if s} == {i: s for i, s in repeated_words(docs, n).items() if s}
+    if n == 300:
+        assert sorted((r.doc_id, r.start_word, r.end_word, r.is_first) for r in rows) == [(1, 40, 350, True), (2, 0, 310, False)]
+    with pytest.raises(ValueError):
+        suffix_dedup.repeats(documents(spark, docs), min_words=0)
+
+
+def test_long_common_prefixes(tmp_path):
+    symbols = np.tile(np.arange(1, 601, dtype=np.int32), 2)
+    columns = suffix_dedup.Columns(str(tmp_path))
+    assert suffix_dedup.collection_bwt(symbols, np.array([0, 600, 1200]), columns)[1].max() == 600
+
+
 def test_collection_transform(tmp_path):
     rng = np.random.default_rng(2)
     sizes = [5, 9, 1, 14, 7]
