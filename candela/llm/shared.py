@@ -53,6 +53,18 @@ def file_system(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+def selector(path: str):
+    """What pyarrow lists the files of a folder by."""
+    from pyarrow import fs
+
+    return fs.FileSelector(path)
+
+
+def address(folder: str, path: str) -> str:
+    """The URI of a path that file_system(folder) gave, for Spark."""
+    return f"file://{path}" if folder.startswith("file:") or "://" not in folder else f"{folder.split('://')[0]}://{path}"
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

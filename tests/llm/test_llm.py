@@ -6,6 +6,7 @@ import gzip
 import random
 import re
 from collections import Counter, defaultdict
+from hashlib import sha256
 from html.parser import HTMLParser
 
 import numpy as np
@@ -78,6 +79,86 @@ def test_exact_dedup_like_brute_force(spark, bits, rows):
     assert exact_dedup.exact_dedup(documents(spark, [])).count() == 0
 
 
+def test_digest_index_over_two_batches(spark, tmp_path):
+    """Five flushes over two batches, against a dictionary; the index is opened again from its folder."""
+    rng = random.Random(43)
+    keys = [sha256(bytes([k % 256, k // 256])).digest()[:30].ljust(32, b"\0") for k in range(400)]
+    batches = [[(rng.choice(keys), rng.randrange(1000)) for _ in range(150)] for _ in range(5)]
+    want: dict = {}
+
+    def frame(rows):
+        return spark.createDataFrame(rows, "digest binary, id bigint").repartition(2)
+
+    at = str(tmp_path / "index")
+    index = exact_dedup.DigestIndex(spark, at, memtable=60, fan=3, part=50)
+    for rows in batches[:3]:
+        index.flush(frame(rows))
+    assert len({f.run for f in index.files}) > 3 and all(f.level == 0 for f in index.files)
+    index.compact()
+    assert max(f.level for f in index.files) >= 1
+    again = exact_dedup.DigestIndex(spark, at, memtable=60, fan=3, part=50)
+    assert again.files == index.files
+    for rows in batches[:3]:
+        for d, i in rows:
+            want[d] = min(want.get(d, i), i)
+    asked = [(d,) for d in keys] + [(keys[0],)]
+    assert {bytes(r.digest): r.keep_id for r in again.lookup(spark.createDataFrame(asked, "digest binary")).collect()} == want
+    for rows in batches[3:]:
+        again.flush(frame(rows))
+    again.compact(fully=True)
+    assert len({f.run for f in again.files}) == 1 and len(again.files) > 1
+    count = Counter(d for rows in batches for d, _ in rows)
+    for rows in batches[3:]:
+        for d, i in rows:
+            want[d] = min(want.get(d, i), i)
+    assert {bytes(r.digest): (r.keep_id, r.n) for r in again.several().collect()} == {d: (want[d], n) for d, n in count.items() if n > 1}
+    assert sum(f.entries for f in again.files) == len(want)
+
+
+def test_filter_miss_opens_no_run(spark, tmp_path):
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), memtable=100)
+    have = [np.random.default_rng(k).bytes(32) for k in range(500)]
+    index.flush(spark.createDataFrame([(d, 1) for d in have], "digest binary, id bigint").repartition(1))
+    opened: list[str] = []
+    size = [exact_dedup.Bloom.read(open(f"{f.path}.filter", "rb").read()) for f in index.files]
+    rng, missing = np.random.default_rng(9), []
+    while len(missing) < 20:
+        d = np.array([rng.bytes(31) + b"x"], "S32")
+        if not any(b.may_have(d)[0] for b in size):
+            missing.append(d[0])
+    assert len(exact_dedup.search(index.path, index.files, np.unique(np.array(missing, "S32")), opened)[0]) == 0 and not opened
+    d, i, n = exact_dedup.search(index.path, index.files, np.unique(np.array(have, "S32")), opened)
+    assert len(d) == len(set(have)) and opened
+
+
+def test_second_batch_meets_the_first(spark, tmp_path):
+    first = [(1, "a"), (2, "b"), (3, None), (4, "")]
+    second = [(10, "b"), (11, "c"), (12, "c"), (13, None), (14, ""), (None, "a"), (0, "a")]
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"))
+    for bits in (256, 8):  # with 8 bits digests collide
+        index = exact_dedup.DigestIndex(spark, str(tmp_path / f"index{bits}"))
+        more = [(100 + k, f"t{k}") for k in range(300)]
+        exact_dedup.mark(documents(spark, first + more), bits=bits, index=index).count()
+        with pytest.raises(ValueError):
+            exact_dedup.mark(documents(spark, second), bits=bits, index=index)
+        out = exact_dedup.mark(documents(spark, second + [(900, "t7"), (901, "t7"), (902, "u")]), bits=bits, index=index, earlier=documents(spark, first + more)).select("row.doc_id", "row.text", "keep_id", "is_duplicate").collect()
+        assert Counter(map(tuple, out)) == Counter([(10, "b", 2, True), (11, "c", 11, False), (12, "c", 11, True), (13, None, 13, False), (14, "", 4, True), (None, "a", 0, True), (0, "a", 0, True), (900, "t7", 107, True), (901, "t7", 107, True), (902, "u", 902, False)])
+        assert sum(f.entries for f in index.files) > 0
+
+
+def test_identifiers_that_are_no_integers_are_refused(spark):
+    df = documents(spark, [(1, "a")]).withColumn("doc_id", F.lit("x"))
+    for f in (exact_dedup.mark, suffix_dedup.repeats, near_dedup.mark, mixing.mix):
+        with pytest.raises(TypeError):
+            f(df)
+
+
+def test_columns_of_any_type_stay(spark):
+    df = documents(spark, [(1, "a b c"), (1, "a b c"), (2, "a b c")]).withColumn("m", F.create_map(F.lit("k"), F.rand(1))).withColumn("v", F.lit(None))
+    for f in (exact_dedup.exact_dedup, near_dedup.near_dedup):
+        assert [(r.doc_id, len(r.m)) for r in f(df).collect()] == [(1, 1)]
+
+
 def test_clashing_columns_stay(spark):
     df = documents(spark, [(1, "a"), (2, "a"), (3, "b")]).withColumns({c: F.lit(9) for c in ("digest", "keep_id", "id", "h", "tokens", "shard", "row", "toxic", "group", "f")})
     for f in (exact_dedup.exact_dedup, near_dedup.near_dedup):
