@@ -1,15 +1,16 @@
 """MinHash near-dedup by bottom-k sketches from one hash function.
 
 A text's set is that of its word shingles (``shingle`` words without ASCII case and punctuation; a shorter text is one shingle).
-Texts with the same set, by a 64-bit fingerprint, are one node. The sketch of a node is the k least hashes of its set.
+Texts with the same set, by two independent 64-bit fingerprints, are one node. The sketch of a node is the k least hashes of its set.
 
 Candidates come from inverted lists of retained values, with the prefix principle: two sets as similar as the
 threshold share at least ``needed`` retained values (exact for whole sets, three standard deviations below the mean
 for cut sketches). With each node's values ordered by the length of their lists, it is enough to look at the first
 (shared - needed + 1) of them. So values that a great many documents share, such as a licence passage, generate no pairs, values
 of one document none either, and there is no cap on lists, candidates or partners. The union's bottom-k sketch filters the pairs, and the exact
-Jaccard coefficient of the whole sets decides. Verification works on units of two blocks of up to ``BLOCK`` documents of a
-neighbourhood, so a text travels once for a small group and a task holds one unit, however large the group.
+Jaccard coefficient of the whole sets decides. Both steps work on units of two blocks of about ``BLOCK`` nodes of a
+neighbourhood: a sketch or text travels once for each unit, not for each pair, and a task holds one unit, however large the group. All links between different sets are found, so the pairs
+of a group grow with the square of its distinct sets; a row of the result has its group and the number of its links.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from . import textkit as K
 from .components import components
 
 SHINGLE, SKETCH, THRESHOLD, BLOCK = 5, 64, 0.5, 64
-_LAST = (1 << 63) - 1
+_LAST = shared.LAST
 
 
 def shingle_sets(data: np.ndarray, limits: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +58,7 @@ def shingle_sets(data: np.ndarray, limits: np.ndarray, shingle: int = SHINGLE) -
 
 
 def sketches(docs: DataFrame, k: int = SKETCH, shingle: int = SHINGLE) -> DataFrame:
-    """(id, h, f, n, sketch) of each row of docs that has a word: h is a hash of the text, f the fingerprint of its set, n its size.
+    """(id, h, f, g, n, sketch) of each row of docs that has a word: h is a hash of the text, f and g are fingerprints of its set, n its size.
 
     id is doc_id, and the greatest integer for null.
     """
@@ -71,24 +72,30 @@ def sketches(docs: DataFrame, k: int = SKETCH, shingle: int = SHINGLE) -> DataFr
                 with np.errstate(over="ignore"):
                     sums = np.concatenate([[np.uint64(0)], np.cumsum(K.mix(values ^ np.uint64(0xABCDEF1234567)), dtype=np.uint64)])
                     f = K.mix(sums[lim[1:]] - sums[lim[:-1]] + n.astype(np.uint64)).astype(np.int64)
+                    sums = np.concatenate([[np.uint64(0)], np.cumsum(K.mix(values * np.uint64(0xD1342543DE82EF95) + np.uint64(0x2545F4914F6CDD1D)), dtype=np.uint64)])
+                    g = K.mix(sums[lim[1:]] - sums[lim[:-1]]).astype(np.int64)
                 keep = np.minimum(n, k)
                 at = np.arange(keep.sum()) + np.repeat(lim[:-1] - (np.cumsum(keep) - keep), keep)
                 has = np.flatnonzero(n > 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]), pa.int32()), pa.array(values[at].view(np.int64)))
-                part = pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(f), pa.array(n, pa.int32()), lists], names=["id", "h", "f", "n", "sketch"])
+                part = pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(f), pa.array(g), pa.array(n, pa.int32()), lists], names=["id", "h", "f", "g", "n", "sketch"])
                 yield part if len(has) == b - a else part.take(pa.array(has))
 
-    inputs = {"id": F.coalesce(docs["doc_id"].cast("bigint"), F.lit(_LAST)), "h": F.xxhash64(docs["text"]), "text": docs["text"]}
-    return shared.apply_rows(docs, inputs, run, "id bigint, h bigint, f bigint, n int, sketch array<bigint>")
+    inputs = {"id": shared.identifier(docs), "h": F.xxhash64(docs["text"]), "text": docs["text"]}
+    return shared.apply_rows(docs, inputs, run, "id bigint, h bigint, f bigint, g bigint, n int, sketch array<bigint>")
 
 
 def candidates(nodes: DataFrame, threshold: float = THRESHOLD, k: int = SKETCH) -> DataFrame:
-    """Pairs (a < b) of fingerprints that can be as similar as the threshold."""
+    """Pairs (a < b) of fingerprints that can be as similar as the threshold. An empty table gives none.
+
+    The lengths of the lists are counted with a combine before the shuffle and joined back, so a value that a great many nodes retain is a skewed join key, which adaptive execution splits.
+    """
     cut = max(1, int(k * threshold - 3 * sqrt(k * threshold * (1 - threshold))))
     needed = F.least(F.lit(cut), F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)).cast("int"))
     postings = nodes.select("f", needed.alias("needed"), F.explode("sketch").alias("v"))
-    listed = postings.withColumn("length", F.count(F.lit(1)).over(Window.partitionBy("v"))).where("length > 1")
-    own = Window.partitionBy("f")
+    lengths = nodes.select(F.explode("sketch").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
+    listed = postings.join(lengths, "v")
+    own = Window.partitionBy("f")  # at most k rows
     prefix = (
         listed.withColumn("shared", F.count(F.lit(1)).over(own)).where("shared >= needed")
         .withColumn("place", F.row_number().over(own.orderBy("length", "v"))).where("place <= shared - needed + 1").select("v", "f")
@@ -97,109 +104,151 @@ def candidates(nodes: DataFrame, threshold: float = THRESHOLD, k: int = SKETCH)
     return lists.alias("x").join(lists.alias("y"), F.expr("x.v = y.v and x.f < y.f")).select(F.col("x.f").alias("a"), F.col("y.f").alias("b")).distinct()
 
 
-def estimated(pairs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD, k: int = SKETCH) -> DataFrame:
-    """Pairs whose Jaccard coefficient, estimated from the bottom-k of the union, is within three standard deviations of the threshold."""
-    least = threshold - 3 * sqrt(threshold * (1 - threshold) / k)
-    s = nodes.select("f", "n", "sketch")
-    x = pairs.join(s.select(F.col("f").alias("a"), F.col("sketch").alias("sa")), "a").join(s.select(F.col("f").alias("b"), F.col("sketch").alias("sb")), "b")
-    # unsigned order: the sketches were cut in it, so the sign bit is flipped
-    flip = lambda c: F.transform(c, lambda v: v.bitwiseXOR(F.lit(-(1 << 63))))
-    x = x.withColumn("u", F.slice(F.sort_array(flip(F.array_union("sa", "sb"))), 1, k)).withColumn("both", flip(F.array_intersect("sa", "sb")))
-    return x.where(F.size(F.array_intersect("u", "both")) >= F.lit(least) * F.size("u")).select("a", "b")
-
-
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, broadcast_rows: int = 200_000) -> DataFrame:
-    """(a, b, jaccard) of the pairs whose whole sets reach the threshold."""
+def in_units(pairs: DataFrame) -> DataFrame:
+    """(unit, a, b): the pairs (a < b), with those of a neighbourhood in units of two blocks of about BLOCK nodes each. Blocks are made by hash from the size of the neighbourhood."""
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("f"), F.least("a", "m").alias("label"))
-    # nodes of a neighbourhood get consecutive places, whose blocks make the units
-    placed = near.withColumn("block", F.concat_ws("/", "label", F.floor((F.row_number().over(Window.partitionBy("label").orderBy("f")) - 1) / BLOCK)))
-    placed = shared.cut(placed.select("f", "block"))
+    near = shared.written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("f"), F.least("a", "m").alias("label")), "labels")
+    sizes = near.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    placed = near.join(sizes, "label").select("f", F.xxhash64("label", F.pmod(F.xxhash64("f"), "blocks")).alias("block"))
     p = pairs.join(placed.select(F.col("f").alias("a"), F.col("block").alias("ba")), "a").join(placed.select(F.col("f").alias("b"), F.col("block").alias("bb")), "b")
-    p = shared.cut(p.select(F.xxhash64(F.least("ba", "bb"), F.greatest("ba", "bb")).alias("unit"), "a", "b"))
-    wanted = p.select("unit", F.explode(F.array("a", "b")).alias("f")).distinct()
-    involved = nodes.select("f", "id", "h").join(placed.select("f"), "f")
-    small = placed.count() <= broadcast_rows
-    texts = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("id"), F.xxhash64("text").alias("h"), "text")
-    texts = texts.join(F.broadcast(involved) if small else involved, ["id", "h"]).select("f", "text")
-    none = F.lit(None)
-    rows = wanted.join(texts, "f").select("unit", "f", none.cast("bigint").alias("a"), none.cast("bigint").alias("b"), "text").unionByName(
-        p.select("unit", none.cast("bigint").alias("f"), "a", "b", none.cast("string").alias("text"))
-    )
+    return p.select(F.xxhash64(F.least("ba", "bb"), F.greatest("ba", "bb")).alias("unit"), "a", "b")
+
+
+def _decided(pairs: DataFrame, values: DataFrame, sets, decide) -> DataFrame:
+    """(unit, a, b, j) of the pairs (unit, a, b) for which decide, of the two nodes' sets, gives a j that isn't None.
+
+    values: (f, value), one row a node; sets makes a list of sets from a column of values. A pair whose value is missing is an error.
+    """
+    kind = values.schema["value"].dataType.simpleString()
+    wanted = pairs.select("unit", F.explode(F.array("a", "b")).alias("f")).distinct()
+    zero = F.lit(0).cast("bigint")
+    rows = wanted.join(values, "f").select("unit", "f", zero.alias("a"), zero.alias("b"), "value").unionByName(pairs.select("unit", zero.alias("f"), "a", "b", F.lit(None).cast(kind).alias("value")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, sets = None, {}
+        unit, held = None, {}
         for batch in batches:
-            units, fs, a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 3))
-            is_text = np.asarray(batch.column(4).is_valid())
-            data, limits = K.buffers(batch.column(4))
-            found: list[tuple[int, int, float]] = []
-            for s, e in K.chunks(limits):
-                values, lim = shingle_sets(data[limits[s] : limits[e]], limits[s : e + 1] - limits[s], shingle)
+            units, fs, a, b = (batch.column(i).to_numpy() for i in range(4))
+            valued = np.asarray(batch.column(4).is_valid())
+            found: list[tuple[int, int, int, float]] = []
+            for s, e, of in sets(batch.column(4)):
                 for i in range(s, e):
                     if units[i] != unit:
-                        unit, sets = units[i], {}
-                    if is_text[i]:
-                        sets[int(fs[i])] = values[lim[i - s] : lim[i - s + 1]].copy()
-                    else:
-                        x, y = sets.get(int(a[i])), sets.get(int(b[i]))
-                        if x is None or y is None:
-                            continue
-                        if min(len(x), len(y)) < threshold * max(len(x), len(y)):
-                            continue
-                        z = np.sort(np.concatenate([x, y]), kind="stable")
-                        same = int((z[1:] == z[:-1]).sum())
-                        j = same / (len(x) + len(y) - same)
-                        if j >= threshold:
-                            found.append((int(a[i]), int(b[i]), j))
+                        unit, held = units[i], {}
+                    if valued[i]:
+                        held[fs[i]] = of(i)
+                    elif (j := decide(held[a[i]], held[b[i]])) is not None:
+                        found.append((unit, a[i], b[i], j))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.int64()), pa.array([r[2] for r in found], pa.float64())], names=["a", "b", "jaccard"])
+                columns = [pa.array(np.array(c, np.int64)) for c in list(zip(*found))[:3]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([r[3] for r in found], pa.float64())], names=["unit", "a", "b", "j"])
 
-    # texts of a unit come before its pairs; fingerprints travel as longs that are never null where they are read
-    rows = rows.select("unit", F.coalesce("f", F.lit(0)).alias("f"), F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"), "text")
-    sorted_ = rows.repartition("unit").sortWithinPartitions("unit", F.col("text").isNull())
-    return sorted_.mapInArrow(run, "a bigint, b bigint, jaccard double").distinct()
+    # values of a unit come before its pairs
+    return rows.repartition("unit").sortWithinPartitions("unit", F.col("value").isNull()).mapInArrow(run, "unit bigint, a bigint, b bigint, j double")
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two sorted sets share."""
+    z = np.concatenate([x, y])
+    z.sort(kind="stable")
+    return int((z[1:] == z[:-1]).sum())
+
+
+def estimated(pairs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD, k: int = SKETCH) -> DataFrame:
+    """Those of the pairs (unit, a, b) whose Jaccard coefficient, estimated from the bottom-k of the union, is within three standard deviations of the threshold."""
+    least = threshold - 3 * sqrt(threshold * (1 - threshold) / k)
+
+    def sets(column: pa.Array):
+        at, flat = np.asarray(column.offsets), column.values.to_numpy().view(np.uint64)
+        yield 0, len(column), lambda i: flat[at[i] : at[i + 1]].copy()
+
+    def decide(x: np.ndarray, y: np.ndarray) -> float | None:
+        z = np.concatenate([x, y])
+        z.sort(kind="stable")
+        twice = z[1:] == z[:-1]
+        # the k-th distinct value ends the union's sketch
+        kinds = np.cumsum(np.concatenate([[1], ~twice]))
+        inside = int(np.searchsorted(kinds, k, "right"))
+        size = int(kinds[inside - 1])
+        j = int(twice[: inside - 1].sum()) / size
+        return j if j >= least else None
+
+    return _decided(pairs, nodes.select("f", F.col("sketch").alias("value")), sets, decide).select("unit", "a", "b")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, broadcast_rows: int = 200_000) -> DataFrame:
+    """(a, b, jaccard) of those of the pairs (unit, a, b) whose whole sets reach the threshold. Rows of docs that repeat are the same node's; null texts are no node's."""
+    involved = shared.written(pairs.select(F.explode(F.array("a", "b")).alias("f")).distinct().join(nodes.select("f", "id", "h"), "f"), "involved")
+    small = involved.count() <= broadcast_rows
+    texts = docs.where("text is not null").select(shared.identifier(docs).alias("id"), F.xxhash64("text").alias("h"), "text")
+    texts = texts.join(F.broadcast(involved) if small else involved, ["id", "h"]).select("f", F.col("text").alias("value"))
+
+    def sets(column: pa.Array):
+        data, limits = K.buffers(column)
+        for s, e in K.chunks(limits):
+            values, lim = shingle_sets(data[limits[s] : limits[e]], limits[s : e + 1] - limits[s], shingle)
+            yield s, e, lambda i: values[lim[i - s] : lim[i - s + 1]].copy()  # noqa: B023
+
+    def decide(x: np.ndarray, y: np.ndarray) -> float | None:
+        if min(len(x), len(y)) < threshold * max(len(x), len(y)):
+            return None
+        same = _common(x, y)
+        j = same / (len(x) + len(y) - same)
+        return j if j >= threshold else None
+
+    return _decided(pairs, texts, sets, decide).select("a", "b", F.col("j").alias("jaccard"))
 
 
 def similar(docs: DataFrame, threshold: float = THRESHOLD, k: int = SKETCH, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(members, edges): id, h, f of each row with words, and the verified pairs of fingerprints."""
+    """(members, edges): id, h, f of each row with words, and the verified pairs of fingerprints. Two sets that share f but not g get fingerprints of their own."""
     rows = shared.written(sketches(docs, k, shingle), "sketches")
-    nodes = shared.written(rows.groupBy("f").agg(F.min(F.struct("id", "h", "n", "sketch")).alias("r")).select("f", "r.*"), "nodes")
-    close = shared.cut(estimated(candidates(nodes, threshold, k), nodes, threshold, k))
+
+    def noded(r: DataFrame) -> DataFrame:
+        return shared.written(r.groupBy("f").agg(F.min(F.struct("id", "h", "n", "sketch")).alias("r"), (F.min("g") != F.max("g")).alias("clash")).select("f", "r.*", "clash"), "nodes")
+
+    nodes = noded(rows)
+    clash = nodes.where("clash").select("f", F.lit(True).alias("split"))
+    if not clash.isEmpty():
+        rows = shared.written(rows.join(clash, "f", "left").withColumn("f", F.expr("if(split, xxhash64(f, g), f)")).drop("split"), "sketches")
+        nodes = noded(rows)
+    near = shared.written(in_units(shared.written(candidates(nodes, threshold, k), "candidates")), "units")
+    close = shared.written(estimated(near, nodes, threshold, k), "close")
     return rows.select("id", "h", "f"), verified(close, nodes, docs, threshold, shingle)
 
 
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD, k: int = SKETCH, shingle: int = SHINGLE) -> DataFrame:
-    """(id, h, group): every row's least identifier of its group of near copies, the connected component of pairs at or above the threshold.
+    """(id, h, group, n_links): every row's least identifier of its group of near copies, the connected component of pairs at or above the threshold, and how many other sets its set is linked to.
 
     Texts with the same shingle set are near copies. Null texts and texts without words are near copies of nothing and have no row here. Rows that repeat count once.
     """
     members, edges = similar(docs, threshold, k, shingle)
-    roots = components(edges.select("a", "b"))
-    placed = members.distinct().join(roots, members["f"] == roots["node"], "left").select("id", "h", F.coalesce("root", "f").alias("root"))
+    edges = shared.written(edges.select("a", "b"), "edges")
+    links = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    roots = components(edges).join(links, "node")
+    placed = members.distinct().join(roots, members["f"] == roots["node"], "left").select("id", "h", F.coalesce("root", "f").alias("root"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
     least = placed.groupBy("root").agg(F.min("id").alias("group"))
-    return placed.join(least, "root").select("id", "h", "group")
+    return placed.join(least, "root").select("id", "h", "group", "n_links")
 
 
 def mark(docs: DataFrame, broadcast_rows: int = 200_000, **settings) -> DataFrame:
-    """Every row of docs as struct ``row`` with group_id and is_duplicate: whether near-dedup drops it.
+    """Every row of docs as struct ``row`` with group_id, is_duplicate (whether near-dedup drops it) and n_links (see near_groups).
 
     Of each group the row with the least doc_id stays; a null doc_id comes last. Of rows that repeat doc_id and text one stays.
     A row without words is its own group. Of different texts of a group under its least identifier the one with the least hash stays.
+    doc_id must be an integer column; other columns may have any name and type.
     """
     groups = shared.written(near_groups(docs, **settings), "groups")
     sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "h")).alias("first"))
-    repeated = docs.where("text is not null").groupBy(F.coalesce(docs["doc_id"].cast("bigint"), F.lit(_LAST)).alias("id"), F.xxhash64(docs["text"]).alias("h")).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    special = groups.join(sizes.where("size > 1"), "group").select("id", "h", "group", (F.struct("id", "h") != F.col("first")).alias("drop"))
-    special = special.join(repeated, ["id", "h"], "full").select("id", "h", F.coalesce("group", "id").alias("group"), F.coalesce("drop", F.lit(False)).alias("drop"), (F.col("copies") > 1).alias("many"))
+    repeated = docs.where("text is not null").groupBy(shared.identifier(docs).alias("id"), F.xxhash64(docs["text"]).alias("h")).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    special = groups.join(sizes.where("size > 1"), "group").select("id", "h", "group", "n_links", (F.struct("id", "h") != F.col("first")).alias("drop"))
+    special = special.join(repeated, ["id", "h"], "full").select("id", "h", F.coalesce("group", "id").alias("group"), "n_links", F.coalesce("drop", F.lit(False)).alias("drop"), (F.col("copies") > 1).alias("many"))
     special = shared.written(special, "special")
     small = special.count() <= broadcast_rows
-    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs["doc_id"].cast("bigint"), F.lit(_LAST)).alias("id"), F.xxhash64(docs["text"]).alias("h"), docs["text"].isNull().alias("none"))
-    hit = keyed.join(F.broadcast(special) if small else special, ["id", "h"], "left").withColumn("group", F.expr("if(none, id, coalesce(group, id))"))
-    simple = hit.where("none or many is null or drop").select("row", "group", F.expr("not none and coalesce(drop, false)").alias("is_duplicate"))
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), shared.identifier(docs).alias("id"), F.xxhash64(docs["text"]).alias("h"), docs["text"].isNull().alias("none"))
+    hit = keyed.join(F.broadcast(special) if small else special, ["id", "h"], "left").withColumn("group", F.expr("if(none, id, coalesce(group, id))")).withColumn("n_links", F.expr("if(none, 0, coalesce(n_links, 0))"))
+    simple = hit.where("none or many is null or drop").select("row", "group", F.expr("not none and coalesce(drop, false)").alias("is_duplicate"), "n_links")
     several = hit.where("not none and many and not drop")
-    several = several.withColumn("p", F.row_number().over(Window.partitionBy("id", "h").orderBy(F.xxhash64("row")))).select("row", "group", (F.col("p") > 1).alias("is_duplicate"))
-    return simple.unionByName(several).select("row", F.nullif("group", F.lit(_LAST)).alias("group_id"), "is_duplicate")
+    several = several.withColumn("p", F.row_number().over(Window.partitionBy("id", "h").orderBy(shared.in_order("row")))).select("row", "group", (F.col("p") > 1).alias("is_duplicate"), "n_links")
+    return simple.unionByName(several).select("row", F.nullif("group", F.lit(_LAST)).alias("group_id"), "is_duplicate", "n_links")
 
 
 def near_dedup(docs: DataFrame, **settings) -> DataFrame:
@@ -209,7 +258,7 @@ def near_dedup(docs: DataFrame, **settings) -> DataFrame:
 
 def op8_near_dedup(spark, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return mark(docs).select("row.doc_id", "group_id", "is_duplicate")
+    return mark(docs).select("row.doc_id", "group_id", "is_duplicate", "n_links")
 
 
 QUERIES = {"op8_near_dedup": op8_near_dedup}

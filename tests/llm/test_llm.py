@@ -213,6 +213,32 @@ def test_near_pairs_like_brute_force(spark):
     assert len(clear & found.keys()) >= 0.99 * len(clear)
 
 
+def test_near_links_are_counted_and_units_are_many(spark, monkeypatch):
+    """n_links against brute force, with blocks so small that a group has many units."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    rng = random.Random(47)
+    base = prose(rng, 60).split()  # whole sets in the sketch, so the result is exact
+    texts = [" ".join([*base[:k], f"x{k}", *base[k:]]) for k in range(0, 60, 2)] + [prose(rng, 50) for _ in range(30)]
+    texts += [texts[0].upper(), texts[1] + "!", texts[3]]
+    sets = {near_key(t) for t in texts}
+    want = {i: sum(s != near_key(t) and jaccard(t, " ".join(s)) >= 0.5 for s in sets) for i, t in enumerate(texts)}
+    out = near_dedup.mark(documents(spark, list(enumerate(texts)))).select("row.doc_id", "n_links", "group_id").collect()
+    assert {r.doc_id: r.n_links for r in out} == want and max(want.values()) > 20
+    assert {r.group_id for r in out if r.doc_id < 30 or r.doc_id >= 60} == {0}
+
+
+def near_key(t):
+    return tuple(re.findall(r"[0-9a-z]+", t.lower()))
+
+
+def test_sets_of_one_fingerprint_stay_apart(spark, monkeypatch):
+    rows = near_dedup.sketches
+    texts = ["one two three four five six", "seven eight nine ten eleven twelve", "one two three four five six"]
+    monkeypatch.setattr(near_dedup, "sketches", lambda *a: rows(*a).withColumn("f", F.lit(5).cast("bigint")))
+    out = near_dedup.mark(documents(spark, list(enumerate(texts)))).select("row.doc_id", "group_id").collect()
+    assert {r.doc_id: r.group_id for r in out} == {0: 0, 1: 1, 2: 0}
+
+
 def test_near_groups_and_edges(spark):
     rng = random.Random(5)
     base = prose(rng, 200)
