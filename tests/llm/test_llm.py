@@ -164,7 +164,7 @@ def test_clashing_columns_stay(spark):
     for f in (exact_dedup.exact_dedup, near_dedup.near_dedup):
         out = f(df)
         assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]
-    assert mixing.mix(df, keep_share=1.0).columns == df.columns
+    assert mixing.mix(df).columns == df.columns and mixing.mix(df).count() == 3
     assert quality.apply_rules(df).count() == 3 and bpe.encode(df).count() == 3 and suffix_dedup.repeats(df).count() == 0
     assert set(toxicity.score(df, {-1: 0.0}).columns) == {*df.columns, "toxicity"}
 
@@ -485,15 +485,57 @@ def test_apportionment_like_brute_force(spark):
     assert {(r.g, r.name): r.n for r in mixing.apportion(df, ["g"], "name").collect()} == want
 
 
+def test_largest_mixture_like_brute_force(spark):
+    rng = random.Random(53)
+    for _ in range(12):
+        names = [(f"n{i}", rng.choice([0.0, 1.0, 1.0, 2.0, 3.0, 5.5, 0.1]), rng.randrange(1, 40)) for i in range(rng.randrange(1, 8))]
+        ranked = sorted((-w / (2 * j + 1), n, j, j == b) for n, w, b in names if w > 0 for j in range(b + 1))
+        want: Counter = Counter()
+        for _, n, _, lacking in ranked:
+            if lacking:
+                break
+            want[n] += 1
+        got = {r.name: r.n for r in mixing.largest(spark.createDataFrame(names, "name string, weight double, blocks bigint"), "name").collect()}
+        assert got == dict(want), names
+
+
+def test_shares_of_large_sources_are_capped(spark):
+    for blocks, want in (([10, 10, 10, 10, 10], None), ([60, 10, 10, 10, 10], {"n0": 0.3 * 40 / 0.7}), ([60, 40, 5, 5, 5], {"n0": 0.3 * 15 / 0.4, "n1": 0.3 * 15 / 0.4}), ([7], None), ([9, 3], {"n0": 3.0})):
+        names = [(f"n{i}", b) for i, b in enumerate(blocks)]
+        got = {r.source_key: r.weight for r in mixing.capped(spark.createDataFrame(names, "source_key string, blocks bigint"), 0.3).collect()}
+        assert got == pytest.approx({n: float(b) for n, b in names} | (want or {}))
+
+
+def test_mixing_like_sql(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(59)
+    rows = [(i, prose(rng, rng.randrange(200, 900)), "aaaaaabc"[i % 8] if i % 11 else rng.choice(["d", None])) for i in range(500)] + [(3, "x", "a"), (3, "x", "a"), (None, None, None), (700, "", "d"), (701, "東京 " * 3000, "b")]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = Counter(con.execute(mixing.sql()).fetchall())
+    got = Counter(map(tuple, mixing.op9_mixing(spark, str(tmp_path)).collect()))
+    assert (got - want, want - got) == (Counter(), Counter()) and 50 < sum(n for r, n in got.items() if r[1] == "a") < 340
+
+
 def test_mixing_reaches_targets(spark):
     rng = random.Random(29)
     docs = documents(spark, [(i, prose(rng, 50), "abc"[i % 10 // 4]) for i in range(2_000)])
-    out = mixing.mix(docs, weights={"a": 1, "b": 1}, block_tokens=500, shard_tokens=5_000, keep_share=0.5)
-    n = Counter(r.source for r in out.collect())
+    settings = {"block_tokens": 500, "shard_tokens": 5_000}
+    n = Counter(r.source for r in mixing.mix(docs, weights={"a": 1, "b": 1, "c": 1}, **settings).collect())
+    assert n["c"] == 400 and abs(n["a"] - 400) < 12 and abs(n["b"] - 400) < 12  # the scarce source is whole
+    n = Counter(r.source for r in mixing.mix(docs, weights={"a": 2, "b": 2}, other=1, **settings).collect())
+    assert sum(n.values()) == 2_000  # weights as the sources are: all stays
+    n = Counter(r.source for r in mixing.mix(docs, weights={"a": 1, "b": 1}, other=0, total=100, **settings).collect())
     assert set(n) == {"a", "b"} and abs(n["a"] - n["b"]) < 40 and abs(sum(n.values()) - 1_000) < 60
+    out = mixing.mix(docs, **settings)
     assert out.exceptAll(docs).count() == 0
     assert mixing.mix(documents(spark, [])).count() == 0
-    assert mixing.mix(documents(spark, EDGES), keep_share=1.0).count() == len(EDGES)
+    assert mixing.mix(documents(spark, [*EDGES, (9, "x", None)]), weights={None: 1, "web": 2}).count() == len(EDGES) + 1
+    assert mixing.mix(documents(spark, EDGES)).count() == len(EDGES)  # one source
+    tokens = [r.tokens for r in mixing.keyed(documents(spark, [(1, "two words"), (2, "東京 に行く ok"), (3, None), (4, "")])).orderBy("id").collect()]
+    assert tokens == [2, 3 + 5, 0, 0]
 
 
 # HTML
