@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,49 +19,62 @@ from pyspark.sql import functions as F
 from . import shared
 
 #: concurrent_to has all identifiers that the record names, with a space between.
-RECORDS = "record_id string, warc_type string, concurrent_to string, target_uri string, warc_date string, content_type string, block string"
+RECORDS = "record_id string, warc_type string, concurrent_to string, target_uri string, warc_date string, content_type string, block binary"
 _COLUMNS = [c.split()[0] for c in RECORDS.split(", ")]
 #: Types of records that a capture is about.
 CAPTURES = ("response", "resource", "revisit")
 
 
 def _parse(stream: io.BufferedIOBase) -> Iterator[dict]:
-    """Records of one uncompressed WARC stream; a malformed header ends it with an error."""
-    while line := stream.readline():
-        if not line.strip():
-            continue
+    """Records of one uncompressed WARC stream. What stands where a record should begin is a record without headers, in blocks of up to about 1 MB, and so is what follows a header without a length."""
+    lost = bytearray()
+
+    def record(head: dict[str, str], block: bytes) -> dict:
+        return {
+            "record_id": head.get("warc-record-id"), "warc_type": head.get("warc-type"), "concurrent_to": head.get("warc-concurrent-to"), "target_uri": head.get("warc-target-uri"),
+            "warc_date": head.get("warc-date"), "content_type": head.get("content-type"), "block": block,
+        }
+
+    while line := stream.readline(1 << 20):
         if not line.startswith(b"WARC/"):
-            raise ValueError(f"not a WARC record: {line[:40]!r}")
+            lost += line
+            if not lost.strip():
+                lost.clear()
+            if len(lost) > 1 << 20:
+                yield record({}, bytes(lost))
+                lost.clear()
+            continue
+        if lost:
+            yield record({}, bytes(lost))
+            lost.clear()
         head: dict[str, str] = {}
-        while (line := stream.readline()).strip():
+        while (line := stream.readline(1 << 20)).strip():
             name, _, value = line.decode("utf-8", "replace").partition(":")
             name, value = name.strip().lower(), value.strip()
             # the one header that may repeat
             head[name] = f"{head[name]} {value}" if name == "warc-concurrent-to" and name in head else value
-        block = stream.read(int(head.get("content-length", 0)))
-        yield {
-            "record_id": head.get("warc-record-id"), "warc_type": head.get("warc-type"), "concurrent_to": head.get("warc-concurrent-to"), "target_uri": head.get("warc-target-uri"),
-            "warc_date": head.get("warc-date"), "content_type": head.get("content-type"), "block": block.decode("utf-8", "replace"),
-        }
+        size = head.get("content-length", "")
+        yield record(head, stream.read(int(size)) if size.isdecimal() and len(size) < 16 else b"")
+    if lost:
+        yield record({}, bytes(lost))
 
 
 def read_warc(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Records of WARC files (plain or .gz), one task a file; files are read as streams, never whole.
 
-    A record without one of the headers has null there; blocks are decoded as UTF-8 with replacement characters.
+    A record without one of the headers has null there; blocks are bytes as they are. What is no record comes without headers (see _parse), which assemble leaves out; a
+    broken .gz ends its file with such a record, whose block says why.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                system, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+                system, at = shared.file_system(path)
                 with system.open_input_stream(at, compression=None) as raw:
                     stream = gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else io.BufferedReader(raw)
                     rows: list[dict] = []
                     size = 0
-                    for r in _parse(stream):
+                    for r in _unbroken(_parse(stream)):
                         rows.append(r)
                         size += len(r["block"])
                         if len(rows) == 1000 or size > 16_000_000:
@@ -69,11 +83,20 @@ def read_warc(spark: SparkSession, paths: list[str]) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema)
 
-    schema = pa.schema([(c, pa.string()) for c in _COLUMNS])
+    schema = pa.schema([(c, pa.binary() if c == "block" else pa.string()) for c in _COLUMNS])
     files = spark.createDataFrame([(p,) for p in paths], "path string")
     return files.repartition(max(1, len(paths))).mapInArrow(read, RECORDS)
 
 
+def _unbroken(records: Iterator[dict]) -> Iterator[dict]:
+    try:
+        yield from records
+    except (EOFError, OSError, zlib.error) as e:
+        if isinstance(e, OSError) and not isinstance(e, gzip.BadGzipFile):
+            raise
+        yield dict.fromkeys(_COLUMNS) | {"block": f"broken: {e}".encode()}
+
+
 def records_of_pages(pages: DataFrame) -> DataFrame:
     """The request, response and metadata records that a crawl of the pages would have written.
 
@@ -92,7 +115,7 @@ def records_of_pages(pages: DataFrame) -> DataFrame:
     def record(kind: str, to: str | None, content: str, block: F.Column) -> F.Column:
         return F.struct(
             rid(kind).alias("record_id"), F.lit(kind).alias("warc_type"), (rid(to) if to else F.lit(None).cast("string")).alias("concurrent_to"),
-            url.alias("target_uri"), date.alias("warc_date"), F.lit(content).alias("content_type"), block.alias("block"),
+            url.alias("target_uri"), date.alias("warc_date"), F.lit(content).alias("content_type"), block.cast("binary").alias("block"),
         )
 
     all_three = F.array(
@@ -106,7 +129,7 @@ def records_of_pages(pages: DataFrame) -> DataFrame:
 def assemble(records: DataFrame) -> DataFrame:
     """One row per capture: capture_id, target_uri, warc_date, http_status, response, requests, metadata.
 
-    response is a struct (record_id, warc_date, content_type, http_head, payload); requests and metadata are arrays of such, by record_id.
+    response is a struct (record_id, warc_date, content_type, http_head, payload), the payload as bytes; requests and metadata are arrays of such, by record_id.
     Records repeated as they are count once; of different records with one response identifier the least (date, block) is taken.
     A record whose response is missing forms a capture of its own with null response, under the identifier it refers to, or its own.
     Records without identifier and reference, and types other than request, metadata and those of CAPTURES, are left out. Extra columns are ignored.
@@ -129,14 +152,13 @@ def assemble(records: DataFrame) -> DataFrame:
         found = found.unionByName(new)
     mains = r.where(main).select(F.coalesce(F.col("record_id"), first).alias("capture_id"), "*")
     rest = r.where(F.col("warc_type").isin("request", "metadata")).join(found, F.col("record_id") == F.col("child"), "left").select(F.coalesce(F.col("root"), first, F.col("record_id")).alias("capture_id"), *_COLUMNS)
-    cut = F.locate("\r\n\r\n", F.col("block"))
-    http = F.col("content_type").startswith("application/http") & (cut > 0)
     body = F.struct(
         "record_id", "warc_date", "content_type",
-        F.when(http, F.expr("substring(block, 1, locate('\\r\\n\\r\\n', block) - 1)")).alias("http_head"),
-        F.when(http, F.expr("substring(block, locate('\\r\\n\\r\\n', block) + 4)")).otherwise(F.col("block")).alias("payload"),
+        F.expr("if(cut > 0, make_valid_utf8(cast(substring(block, 1, cut - 1) as string)), null)").alias("http_head"), F.expr("if(cut > 0, substring(block, cut + 4), block)").alias("payload"),
     )
-    all_ = mains.unionByName(rest).select("capture_id", "target_uri", "warc_date", F.when(main, "response").otherwise(F.col("warc_type")).alias("part"), body.alias("body"))
+    # in Latin-1 a character is a byte
+    end = F.expr("if(startswith(content_type, 'application/http'), locate('\\r\\n\\r\\n', decode(block, 'ISO-8859-1')), 0)")
+    all_ = mains.unionByName(rest).withColumn("cut", end).select("capture_id", "target_uri", "warc_date", F.when(main, "response").otherwise(F.col("warc_type")).alias("part"), body.alias("body"))
     key = F.struct("warc_date", "body")
     grouped = all_.groupBy("capture_id").agg(
         F.coalesce(F.min(F.when(F.col("part") == "response", F.col("target_uri"))), F.min("target_uri")).alias("target_uri"), F.min("warc_date").alias("warc_date"),
@@ -154,8 +176,8 @@ def op5_warc_assembly(spark, sf_dir: str) -> DataFrame:
 def warc_captures_flat(spark, sf_dir: str) -> DataFrame:
     """The same captures with their nested fields as plain columns, for SQL."""
     return op5_warc_assembly(spark, sf_dir).select(
-        "capture_id", "target_uri", "http_status", F.md5("response.payload").alias("payload_md5"), F.length("response.payload").cast("bigint").alias("payload_chars"),
-        F.size("requests").cast("bigint").alias("n_requests"), F.col("requests")[0]["http_head"].alias("request_head"), F.size("metadata").cast("bigint").alias("n_metadata"), F.col("metadata")[0]["payload"].alias("metadata_payload"),
+        "capture_id", "target_uri", "http_status", F.md5("response.payload").alias("payload_md5"), F.length(F.col("response.payload").cast("string")).cast("bigint").alias("payload_chars"),
+        F.size("requests").cast("bigint").alias("n_requests"), F.col("requests")[0]["http_head"].alias("request_head"), F.size("metadata").cast("bigint").alias("n_metadata"), F.col("metadata")[0]["payload"].cast("string").alias("metadata_payload"),
     )
 
 

@@ -436,10 +436,10 @@ def test_warc_assembly(spark):
         (None, "metadata", "r1", None, None, None, None),
         ("w", "warcinfo", None, None, "d0", "text", "info"), (None, None, None, None, None, None, None),
     ]
-    df = spark.createDataFrame(rows, warc.RECORDS).withColumn("root", F.lit(1))
+    df = spark.createDataFrame([(*r[:-1], r[-1] and r[-1].encode()) for r in rows], warc.RECORDS).withColumn("root", F.lit(1)).withColumn("cut", F.lit(2))
     out = {r.capture_id: r for r in warc.assemble(df).collect()}
     assert set(out) == {"r1", "r2", "lost"}
-    assert out["r1"].http_status == 404 and out["r1"].response.payload == "body" and [q.record_id for q in out["r1"].requests] == ["q1"]
+    assert out["r1"].http_status == 404 and out["r1"].response.payload == b"body" and [q.record_id for q in out["r1"].requests] == ["q1"]
     assert Counter(m.record_id for m in out["r1"].metadata) == Counter(["m1", None])
     assert [q.record_id for q in out["r2"].requests] == ["q2"] and out["lost"].response is None
     assert warc.assemble(df.where("false")).count() == 0
@@ -454,7 +454,7 @@ def test_warc_files(spark, tmp_path):
     (tmp_path / "x.warc").write_bytes(raw)
     (tmp_path / "y.warc.gz").write_bytes(gzip.compress(record("metadata", "<c>", "<b>", b"k: v")))
     out = warc.assemble(warc.read_warc(spark, [str(tmp_path / "x.warc"), str(tmp_path / "y.warc.gz")])).collect()
-    assert len(out) == 1 and out[0].response.payload == "hi" and len(out[0].requests) == len(out[0].metadata) == 1
+    assert len(out) == 1 and out[0].response.payload == b"hi" and len(out[0].requests) == len(out[0].metadata) == 1
 
 
 # quality rules
@@ -665,3 +665,52 @@ def test_html_words_like_another_parser():
         other = Visible()
         other.feed(page)
         assert [w for w in html_text.render(page).split() if w != "-"] == other.words, page
+
+
+def test_warc_assembly_like_brute_force(spark):
+    """Misses, repeats, chains, cycles, several references and responses that name their request."""
+    rng = random.Random(61)
+    rows = []
+    for k in range(300):
+        kind = rng.choice(["response", "request", "request", "metadata", "metadata", "revisit", "warcinfo"])
+        to = " ".join(f"<{rng.randrange(330)}>" for _ in range(rng.choice([0, 1, 1, 1, 2]))) or None
+        rows.append((f"<{k}>" if rng.random() < 0.97 else None, kind, to, f"u{k}", f"d{rng.randrange(9)}", rng.choice(["application/http", "text", None]), rng.choice([b"HTTP/1.1 200 OK\r\n\r\n\xff\xfe", b"plain", b"", None])))
+    rows += rng.sample(rows, 20)
+    main = [r for r in set(rows) if r[1] in warc.CAPTURES]
+    others = [r for r in set(rows) if r[1] in ("request", "metadata")]
+    parents = defaultdict(set)
+    for r in others:
+        if r[0]:
+            parents[r[0]] |= set((r[2] or "").split())
+    for r in main:
+        if r[0]:
+            for t in (r[2] or "").split():
+                parents[t].add(r[0])
+    level = {r[0]: r[0] for r in main if r[0]}
+    roots, found = dict(level), {}
+    while level:  # the nearest response, and of several the least
+        new = {c: min(level[p] for p in ps if p in level and p != c) for c, ps in parents.items() if c not in found and any(p in level and p != c for p in ps)}
+        found |= new
+        level = new
+    want = defaultdict(lambda: (set(), set()))
+    for r in others:
+        if r[0] or r[2]:
+            want[found.get(r[0]) or (r[2] or "").split()[0] if found.get(r[0]) or r[2] else r[0]][r[1] == "metadata"].add((r[0], r[4], r[5], r[6]))
+    for r in main:
+        if r[0] or r[2]:
+            want[r[0] or r[2].split()[0]]
+    out = warc.assemble(spark.createDataFrame(rows, warc.RECORDS)).collect()
+    whole = lambda b: None if b.payload is None and b.http_head is None else (b.http_head.encode() + b"\r\n\r\n" if b.http_head is not None else b"") + b.payload
+    got = {r.capture_id: tuple({(b.record_id, b.warc_date, b.content_type, whole(b)) for b in part} for part in (r.requests, r.metadata)) for r in out}
+    assert got == dict(want)
+    assert {r.capture_id for r in out if r.response is not None} == set(roots) | {r[2].split()[0] for r in main if not r[0] and r[2]}
+
+
+def test_warc_malformed(spark, tmp_path):
+    good = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\nContent-Type: application/http\r\nContent-Length: 21\r\n\r\nHTTP/1.1 200 OK\r\n\r\n\xff\xfe\r\n\r\n"
+    (tmp_path / "x.warc").write_bytes(b"junk\nmore\n" + good + b"WARC/1.0\r\nContent-Length: many\r\n\r\nlost\r\n" + good.replace(b"<a>", b"<b>"))
+    (tmp_path / "y.warc.gz").write_bytes(gzip.compress(good.replace(b"<a>", b"<c>")) + gzip.compress(good * 500)[:40])
+    records = warc.read_warc(spark, [str(tmp_path / "x.warc"), str(tmp_path / "y.warc.gz")])
+    assert {bytes(r.block).strip() for r in records.where("record_id is null").collect()} >= {b"junk\nmore", b"lost"}
+    out = {r.capture_id: r for r in warc.assemble(records).collect()}
+    assert {"<a>", "<b>", "<c>"} <= set(out) and bytes(out["<b>"].response.payload) == b"\xff\xfe" and out["<a>"].http_status == 200
