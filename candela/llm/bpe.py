@@ -223,7 +223,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, carr
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, pattern)
+        encoder = Encoder(at_task(), pattern)
         for batch in batches:
             text = batch.column(1)
             data, at = K.buffers(text)
@@ -240,6 +240,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, carr
                 tokens = pa.ListArray.from_arrays(pa.array(limits, pa.int32()), pa.array(ids, pa.int32()), mask=pa.array(null))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), tokens, pa.array(np.diff(limits), pa.int64(), mask=null), pa.array(same, mask=null)], names=["row", "tokens", "n_tokens", "round_trip"])
 
+    at_task = shared.shipped(docs.sparkSession, path)
     row = docs.select(F.struct(*[docs[c] for c in (docs.columns if carry is None else carry)]).alias("row"), docs["text"].alias("text"))
     kind = row.schema["row"].dataType.simpleString()
     return row.mapInArrow(run, f"row {kind}, tokens array<int>, n_tokens bigint, round_trip boolean")
@@ -249,7 +250,7 @@ def decode(rows: DataFrame, path: str = VOCABULARY, column: str = "tokens") -> D
     """The texts of an array<int> column, as one column text, row by row; null for null. Bytes that aren't UTF-8 become replacement characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
+        v = vocabulary(at_task())
         for batch in batches:
             tokens = batch.column(0)
             out = []
@@ -257,6 +258,7 @@ def decode(rows: DataFrame, path: str = VOCABULARY, column: str = "tokens") -> D
                 out.append(b"".join([v.bytes[t] for t in tokens[i].as_py()]).decode("utf-8", "replace") if tokens[i].is_valid else None)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["text"])
 
+    at_task = shared.shipped(rows.sparkSession, path)
     return rows.select(rows[column].alias("tokens")).mapInArrow(run, "text string")
 
 

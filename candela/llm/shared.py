@@ -65,6 +65,19 @@ def address(folder: str, path: str) -> str:
     return f"file://{path}" if folder.startswith("file:") or "://" not in folder else f"{folder.split('://')[0]}://{path}"
 
 
+def shipped(spark: SparkSession, path: str):
+    """A function that gives, in a task, the local path of a copy of the file, which the driver sends to the executors."""
+    spark.sparkContext.addFile(path)
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+
+    def there() -> str:
+        from pyspark import SparkFiles
+
+        return SparkFiles.get(name)
+
+    return there
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

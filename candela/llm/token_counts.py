@@ -39,7 +39,7 @@ def token_counts(docs: DataFrame, by: Sequence[str] = (), vocabulary: str = VOCA
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, pattern).encode_ordinary
+        encode = encoder(at(), pattern).encode_ordinary
         for batch in batches:
             text = batch.column(0)
             sizes: list[int | None] = []
@@ -48,6 +48,7 @@ def token_counts(docs: DataFrame, by: Sequence[str] = (), vocabulary: str = VOCA
                 sizes.append(None if t is None else len(encode(t)))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sizes, pa.int64())], names=[*[f"g{i}" for i in range(len(by))], "n_tokens"])
 
+    at = shared.shipped(docs.sparkSession, vocabulary)
     inputs = {"text": docs["text"]} | {f"g{i}": docs[c] for i, c in enumerate(by)}
     kinds = dict(docs.dtypes)
     schema = ", ".join([*[f"g{i} {kinds[c]}" for i, c in enumerate(by)], "n_tokens bigint"])

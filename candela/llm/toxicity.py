@@ -2,7 +2,7 @@
 
 Words are runs of letters and digits without ASCII case. Features of a text are the set of hashes
 (``bits`` wide) of its words, word pairs and pairs with one word between. Training runs in one task over
-a bounded sample of labelled rows (``most`` rows, those with the lowest hash of their identifier), with
+a bounded sample of labelled rows (``most`` rows and ``most_features`` features, those with the lowest hash of their identifier), with
 a learning rate for each coordinate and L1 sparsity. The model is its non-zero weights, at most 2**bits of
 them, and usually some hundreds; scoring broadcasts them and is one pass over the documents without a shuffle. The settings were chosen on a held-out fifth of the
 labelled documents.
@@ -33,6 +33,8 @@ class Settings:
     epochs: int = 3
     #: Bound on the labelled rows that are fitted; the least hashes of (doc_id, 7) are taken.
     most: int = 24_000
+    #: Bound on their features in all, 4 bytes each in the task that learns; rows are taken in the same order until the next would exceed it.
+    most_features: int = 40_000_000
     threshold: float = 0.4
 
 
@@ -76,12 +78,13 @@ def fit(rows: list[tuple[np.ndarray, int]], s: Settings) -> tuple[np.ndarray, np
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> dict[int, float]:
     """Weights by feature; -1 is the bias.
 
-    Rows with a null text, identifier or label are left out; a document labelled twice with both values counts as toxic.
+    Rows with a null text, identifier or label are left out; a document labelled twice with both values counts as toxic. Of documents that share an identifier each is a row.
     Without labelled rows the model is empty and all scores are 0.
     """
     truth = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # bounded: at most s.most rows, chosen by hash before any text moves
-    chosen = truth.withColumn("h", F.xxhash64("doc_id", F.lit(7))).orderBy("h", "doc_id").limit(s.most)
+    there = docs.where("text is not null and doc_id is not null").select("doc_id")
+    chosen = truth.join(there, "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id", F.lit(7))).orderBy("h", "doc_id").limit(s.most)
     sample = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("h", "doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,11 +101,17 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> dict[
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.list_(pa.int32()))], names=["h", "doc_id", "toxic", "x"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
+        rows, size, full = [], 0, False
         for batch in batches:
             y = batch.column(2).to_pylist()
             x = batch.column(3)
-            rows += [(x[i].values.to_numpy().copy(), y[i]) for i in range(len(y))]
+            for i in range(len(y)):
+                f = x[i].values.to_numpy()
+                full = full or len(rows) >= s.most or (bool(rows) and size + len(f) > s.most_features)
+                if full:
+                    break
+                rows.append((f.copy(), y[i]))
+                size += len(f)
         if rows:
             at, w, b = fit(rows, s)
             yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1], pa.int64()), pa.array([*w.tolist(), b], pa.float64())], names=["feature", "weight"])

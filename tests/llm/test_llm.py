@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -413,6 +414,53 @@ def test_ftrl_learns_and_is_sparse(spark):
     assert not any(r.toxic for r in toxicity.score(docs, none).collect())
 
 
+def test_ftrl_like_plain_python():
+    """fit against FTRL-proximal as published, one coordinate at a time."""
+    rng = random.Random(67)
+    s = toxicity.Settings(bits=6, alpha=0.5, beta=1.0, l1=0.7, l2=0.3, epochs=2)
+    rows = [(np.array(sorted(rng.sample(range(64), rng.randrange(1, 12))), np.int32), rng.randrange(2)) for _ in range(200)]
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        l1 = 0.0 if i == "bias" else s.l1
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+
+    for _ in range(s.epochs):
+        for x, y in rows:
+            w = {i: weight(i) for i in [*x.tolist(), "bias"]}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i, v in w.items():
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / s.alpha
+                z[i] += g - sigma * v
+                n[i] += g * g
+    at, w, bias = toxicity.fit(rows, s)
+    want = {i: weight(i) for i in range(64) if weight(i)}
+    assert 0 < len(want) < 64 and dict(zip(at.tolist(), w.tolist())) == pytest.approx(want) and bias == pytest.approx(weight("bias"))
+
+
+def test_toxicity_like_plain_python(spark):
+    """Scores of whole texts, very long and clashing ones included, from the words one at a time; the sample is bounded as documented."""
+    rng = random.Random(71)
+    rows = [(i, prose(rng, 20) + (" vile scum" if i % 3 == 0 else "")) for i in range(120)]
+    docs = documents(spark, [*rows, (500, prose(rng, 150_000) + " vile scum"), (500, "b"), (501, None)]).withColumns({"toxic": F.lit("t"), "h": F.lit(1), "x": F.lit(2), "feature": F.lit(3)})
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(120)] + [(9_000 + i, 1, 1) for i in range(400)], "doc_id bigint, quality int, toxic int").withColumn("text", F.lit("clash"))
+    s = toxicity.Settings(most=100)
+    weights = toxicity.train(docs, labels, s)  # labels without a text take no place in the sample
+    assert len(weights) > 1
+
+    def features(t):
+        data, limits = K.buffers(pa.array([t]))
+        return {int(h) for f, _ in toxicity.features(data, limits, s.bits) for h in f}
+
+    for r in toxicity.score(docs, weights, s).where("text is not null").collect():
+        x = weights[-1] + sum(np.float32(weights.get(h, 0)) for h in features(r.text))
+        assert r.toxicity == pytest.approx(1 / (1 + math.exp(-x)), rel=1e-5) and r.toxic == (r.toxicity >= s.threshold)
+    few = toxicity.Settings(most=100, most_features=130)
+    assert toxicity.train(docs, labels, few) == toxicity.train(docs, labels, toxicity.Settings(most=2, most_features=130))
+
+
 def test_features_are_grams_and_skips():
     data, limits = K.buffers(pa.array(["One two, THREE", "", None, "one two three"]))
     f = [set(zip(*map(np.ndarray.tolist, x))) for x in toxicity.features(data, limits, 20)]
