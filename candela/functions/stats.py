@@ -64,10 +64,10 @@ def normal_p(z: Column) -> Column:
     return _two_sided(z.cast("double"))
 
 
-def bh_accept(df: DataFrame, p: str = "p_value", name: str = "name", alpha: float = 0.05, n_tested: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    """Step-up false-discovery control: adds rank, threshold and accepted. n_tested may exceed the rows; ties go by name."""
+def bh_accept(df: DataFrame, p: str = "p_value", name: str = "name", alpha: float = 0.05, n_tested: int | Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Step-up false-discovery control: adds rank, threshold and accepted. n_tested may exceed the rows, and may be a column; ties go by name."""
     w = Window.partitionBy(*by)
-    n = F.lit(n_tested) if n_tested is not None else F.count(F.lit(1)).over(w)
+    n = n_tested if isinstance(n_tested, Column) else F.lit(n_tested) if n_tested is not None else F.count(F.lit(1)).over(w)
     df = df.withColumn("rank", F.row_number().over(w.orderBy(p, name))).withColumn("threshold", F.col("rank") * F.lit(alpha) / n)
     last = F.max(F.when(F.col(p) <= F.col("threshold"), F.col("rank"))).over(w)
     return df.withColumn("accepted", F.coalesce(F.col("rank") <= last, F.lit(False)))

@@ -101,7 +101,7 @@ def macro_flags(bars: DataFrame, events: DataFrame) -> DataFrame:
     e = events.withColumn("pattern", F.expr(_flag())).where("pattern is not null")
     series = bars.select("symbol", "timeframe").distinct()
     # one row per event and series: the right side is a calendar, a few rows a month
-    spread = series.crossJoin(F.broadcast(e.select("datetime_utc", "pattern").distinct()))
+    spread = series.crossJoin((e.select("datetime_utc", "pattern").distinct()))
     hit = asof_join(spread, bars.select("symbol", "timeframe", "ts"), ["symbol", "timeframe"], "datetime_utc", "ts", ["ts"], "forward")
     return hit.where("ts is not null").select("symbol", "timeframe", "ts", "pattern").distinct()
 
@@ -121,7 +121,7 @@ def surprises(bars: DataFrame, events: DataFrame) -> DataFrame:
     series = bars.select("symbol", "timeframe").distinct()
     for kind in KINDS:
         name = f"{kind.lower()}_surprise"
-        mine = series.crossJoin(F.broadcast(z.where(F.col("event_type") == kind).groupBy("datetime_utc").agg(F.max_by("surprise", "reference_period").alias(name))))
+        mine = series.crossJoin((z.where(F.col("event_type") == kind).groupBy("datetime_utc").agg(F.max_by("surprise", "reference_period").alias(name))))
         bars = asof_join(bars, mine, ["symbol", "timeframe"], "ts", "datetime_utc", [name])
     return bars
 
@@ -152,7 +152,7 @@ CONTEXT_SQL = "SELECT date_trunc('day', o_orderdate)::TIMESTAMP AS date, round(a
 def attach_context(bars: DataFrame, context: DataFrame) -> DataFrame:
     """Bars with the last context values at or before them; the one series is repeated for each bar series."""
     series = bars.select("symbol", "timeframe").distinct()
-    spread = context.crossJoin(F.broadcast(series))
+    spread = context.crossJoin(series)
     return asof_join(bars, spread, ["symbol", "timeframe"], "ts", "date", ["dxy", "real_yield_10y"])
 
 
@@ -168,7 +168,7 @@ def tag_news(trades: DataFrame, bars: DataFrame, events: DataFrame, lookahead: i
     high = events.where(impact_of(F.col("event_type")) == "high").groupBy("datetime_utc").agg(F.count(F.lit(1)).alias("k"))
     before = high.withColumn("upto", F.sum("k").over(Window.partitionBy(F.lit(1)).orderBy("datetime_utc"))).withColumn("below", F.col("upto") - F.col("k"))
     series = bars.select("symbol", "timeframe").distinct()
-    spread = series.crossJoin(F.broadcast(before))
+    spread = series.crossJoin(before)
     w = Window.partitionBy("symbol", "timeframe").orderBy("ts")
     b = bars.select("symbol", "timeframe", "ts").withColumn("bar_idx", F.row_number().over(w) - 1)
     upto = asof_join(b, spread, ["symbol", "timeframe"], "ts", "datetime_utc", ["upto"])
@@ -209,7 +209,7 @@ def news_risk(signals: DataFrame, events: DataFrame) -> DataFrame:
     high = events.where(impact_of(F.col("event_type")) == "high").select("datetime_utc", "event_type").distinct()
     s = signals.withColumn("expected_resolution_utc", F.expr("now + make_dt_interval(0, 0, 0, median_bars * minutes * 60)")).withColumn("signal_row", F.monotonically_increasing_id())
     inside = F.expr("datetime_utc between now and expected_resolution_utc")
-    hits = s.join(F.broadcast(high), inside).groupBy("signal_row").agg(F.array_sort(F.collect_list(F.struct("datetime_utc", "event_type"))).alias("high_impact_events"))
+    hits = s.join(high, inside).groupBy("signal_row").agg(F.array_sort(F.collect_list(F.struct("datetime_utc", "event_type"))).alias("high_impact_events"))
     return s.join(hits, "signal_row", "left").withColumn("news_in_window", F.expr("case when expected_resolution_utc is not null then high_impact_events is not null end")).drop("signal_row")
 
 

@@ -70,7 +70,7 @@ FROM (SELECT symbol, timeframe, count(*) AS n_bars FROM ({market.candles_sql(("1
 QUERIES["tick_sanity"] = lambda spark, d: rounded(merge.sanity(market.ticks(spark, d), 1.0, 300.0))
 SQL["tick_sanity"] = rounded_sql(f"SELECT symbol, date_trunc('hour', ts) AS hour, count(*) AS n_ticks, avg(CASE WHEN mid < 1.0 OR mid > 300.0 THEN 1.0 ELSE 0.0 END) AS bad_share, avg(CASE WHEN mid < 1.0 OR mid > 300.0 THEN 1.0 ELSE 0.0 END) > 0.01 AS rejected FROM ({market.TICKS_SQL}) t GROUP BY 1, 2", ["bad_share"])
 QUERIES["dedup_ticks"] = lambda spark, d: rounded(merge.dedup_ticks(market.ticks(spark, d).unionByName(market.ticks(spark, d).where("ask_volume > 50"))))
-SQL["dedup_ticks"] = rounded_sql(f"SELECT symbol, ts, min(mid) AS mid FROM ({market.TICKS_SQL}) t GROUP BY 1, 2", ["mid"])
+SQL["dedup_ticks"] = rounded_sql(f"SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY mid, ask NULLS FIRST, bid NULLS FIRST, ask_volume NULLS FIRST, bid_volume NULLS FIRST) AS k FROM ({market.TICKS_SQL}) t) u WHERE k = 1", ["mid", "ask", "bid", "ask_volume", "bid_volume"])
 QUERIES["last_bar"] = lambda spark, d: merge.last_bar(bars(spark, d, FINE))
 SQL["last_bar"] = f"SELECT symbol, timeframe, max(ts) AS last_ts, count(*) AS n_bars FROM ({bars_sql(FINE)}) b GROUP BY ALL"
 QUERIES["storage_by_source"] = lambda spark, d: merge.storage(_two_feeds(spark, d))

@@ -24,11 +24,11 @@ def bars_sql(timeframes: tuple[str, ...] = ("1h",)) -> str:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles to so many places, without negative zeros; dates as times."""
-    kinds = {"double": lambda c: F.round(c, digits) + F.lit(0.0), "date": lambda c: F.col(c).cast("timestamp_ntz")}
+    """Doubles to so many places, without negative zeros; dates as times. Means of few values often lie just between two places, so all are moved a little before."""
+    kinds = {"double": lambda c: F.round(F.col(c) + F.lit(10.0 ** -(digits + 3)), digits) + F.lit(0.0), "date": lambda c: F.col(c).cast("timestamp_ntz")}
     return df.select(*[kinds[t](c).alias(c) if t in kinds else F.col(c) for c, t in df.dtypes])
 
 
 def rounded_sql(query: str, doubles: Iterable[str], digits: int = 6, dates: Iterable[str] = ()) -> str:
-    listed = ", ".join([*[f"round({c}::DOUBLE, {digits}) + 0.0::DOUBLE AS {c}" for c in doubles], *[f"{c}::TIMESTAMP AS {c}" for c in dates]])
+    listed = ", ".join([*[f"round({c}::DOUBLE + {10.0 ** -(digits + 3)!r}::DOUBLE, {digits}) + 0.0::DOUBLE AS {c}" for c in doubles], *[f"{c}::TIMESTAMP AS {c}" for c in dates]])
     return f"SELECT * REPLACE ({listed}) FROM ({query}) r0" if listed else query

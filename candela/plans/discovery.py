@@ -17,6 +17,7 @@ from ..functions import stats
 from ..functions.registry import W, define, resolve, rolling
 from ..operators.primitives import PRIMITIVES, column
 from ..sources import scratch
+from ..sources.market import TIMEFRAMES
 from . import mining as M
 
 SERIES = ["symbol", "timeframe"]
@@ -27,44 +28,142 @@ def primitive_dim(spark: SparkSession, names: Iterable[str] | None = None) -> Da
     return spark.createDataFrame([(n, *PRIMITIVES[n]) for n in names], "primitive string, family string, hint int")
 
 
-def fired_primitives(bars: DataFrame, names: list[str]) -> DataFrame:
-    """Primitives that hold, in long form: symbol, timeframe, bar_idx, primitive."""
-    df = resolve(bars, ["bar_idx", *map(column, names)])
-    flags = F.array_compact(F.array(*[F.when(F.col(column(n)), F.lit(n)) for n in names]))
+def fired_primitives(bars: DataFrame, names: list[str], synthesized: list[str] | None = None) -> DataFrame:
+    """Primitives that hold, in long form: symbol, timeframe, bar_idx, primitive. synthesized: names of defined conditions."""
+    of = {n: column(n) for n in names} | {n: n for n in synthesized or []}
+    df = resolve(bars, ["bar_idx", *of.values()])
+    flags = F.array_compact(F.array(*[F.when(F.col(c), F.lit(n)) for n, c in of.items()]))
     return df.select(*M.KEY, F.explode(flags).alias("primitive"))
 
 
 def _scored(occurred: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
     t = occurred.join(labels, [*M.KEY, "direction"])
-    return M.era_scores(t, sizes=sizes).select(*M.GROUP, "worst_era_score", "resolved")
+    return M.era_scores(t, sizes=sizes, wins=True).select(*M.GROUP, "worst_era_score", "resolved", "wins")
 
 
-def beam_search(flags: DataFrame, dim: DataFrame, labels: DataFrame, sizes: DataFrame, width: int = 5, depth: int = 4, least: float = 0.45, better: float = 0.01) -> DataFrame:
-    """Conjunctions of two primitives or more: symbol, timeframe, pattern (names joined by &), direction, worst_era_score, resolved, depth.
+def beam_search(flags: DataFrame, dim: DataFrame, labels: DataFrame, sizes: DataFrame, **settings) -> DataFrame:
+    """The conjunctions that searched finds: symbol, timeframe, pattern (names joined by &), direction, worst_era_score, resolved, depth."""
+    return searched(flags, dim, labels, sizes, **settings).found.drop("wins")
+
+
+@dataclass(frozen=True)
+class Search:
+    """found: the survivors of two primitives or more. tested: symbol, timeframe, n_tested, every set that was tried, whether it fired, passed or not.
+    occurred: where each set that was tried and fired holds, of all depths (KEY, direction, pattern, depth)."""
+
+    found: DataFrame
+    tested: DataFrame
+    occurred: DataFrame
+
+
+def searched(flags: DataFrame, dim: DataFrame, labels: DataFrame, sizes: DataFrame, width: int = 5, depth: int = 4, least: float = 0.45, better: float = 0.01, seeds: DataFrame | None = None) -> Search:
+    """Beam search for conjunctions of two primitives or more, all series at once.
 
     In each series the best ``width`` of a depth are extended by a primitive of a new family whose hint doesn't contradict; an extension stays if its worst era is
-    ``better`` than its parent's. A set of names counts once; ties go by name.
+    ``better`` than its parent's. A set of names counts once; ties go by name. seeds: a part of dim; only its primitives may start a set.
+    Every depth is written to the shared folder. Empty tables give no row.
     """
+    spark = flags.sparkSession
+    series = sizes.select(*SERIES)
+    starts = dim if seeds is None else seeds
+    trials = starts.agg(F.coalesce(F.sum(F.when(F.col("hint") == 0, 2).otherwise(1)), F.lit(0)).cast("bigint")).first()[0]
+    tested = series.withColumn("n", F.lit(trials))
+    everywhere = None
     sides = F.when(F.col("hint") == 0, F.array(F.lit(1), F.lit(-1))).otherwise(F.array(F.col("hint")))
-    sided = flags.join(F.broadcast(dim), "primitive").withColumn("direction", F.explode(sides))
+    sided = flags.join(F.broadcast(starts), "primitive").withColumn("direction", F.explode(sides))
     occurred = scratch.written(sided.select(*M.KEY, "direction", F.array("primitive").alias("names"), F.array("family").alias("families"), F.lit(None).cast("double").alias("bar")), "beam")
     best = Window.partitionBy(*SERIES).orderBy(F.desc("worst_era_score"), "pattern", "direction")
     found = None
     for level in range(1, depth + 1):
         named = occurred.withColumn("pattern", F.concat_ws("&", "names"))
+        here = named.select(*M.KEY, "direction", "pattern", F.lit(level).alias("depth"))
+        everywhere = here if everywhere is None else everywhere.unionByName(here)
         bars_needed = named.groupBy(*M.GROUP).agg(F.min("bar").alias("bar"))
         score = _scored(named.select(*M.KEY, "pattern", "direction"), labels, sizes).join(bars_needed, M.GROUP)
         passing = score.where(F.col("worst_era_score") >= F.coalesce(F.col("bar"), F.lit(least)))
-        beam = scratch.written(passing.withColumn("k", F.row_number().over(best)).where(F.col("k") <= width).select(*M.GROUP, "worst_era_score", "resolved", F.lit(level).alias("depth")), "beam")
+        beam = scratch.written(passing.withColumn("k", F.row_number().over(best)).where(F.col("k") <= width).select(*M.GROUP, "worst_era_score", "resolved", "wins", F.lit(level).alias("depth")), "beam")
         if level > 1:
             found = beam if found is None else found.unionByName(beam)
         if level == depth:
             break
-        parents = named.join(F.broadcast(beam.select(*M.GROUP, "worst_era_score")), M.GROUP)  # at most width rows a series
+        # every compatible extension of a parent is a trial, also one that never fires; at most width parents a series
+        families = named.select(*M.GROUP, "names", "families").distinct()
+        tried = beam.select(*M.GROUP).join(families, M.GROUP).join(F.broadcast(dim), F.expr("not array_contains(families, family) and (hint = 0 or hint = direction)"))
+        tested = tested.unionByName(tried.select(*SERIES, "direction", F.array_sort(F.array_append("names", F.col("primitive"))).alias("names")).distinct().groupBy(*SERIES).agg(F.count(F.lit(1)).alias("n")))
+        parents = named.join(beam.select(*M.GROUP, "worst_era_score"), M.GROUP)
         more = parents.join(flags, M.KEY).join(F.broadcast(dim), "primitive").where("not array_contains(families, family) and (hint = 0 or hint = direction)")
         grown = more.select(*M.KEY, "direction", F.array_sort(F.array_append("names", F.col("primitive"))).alias("names"), F.array_sort(F.array_append("families", F.col("family"))).alias("families"), (F.col("worst_era_score") + better).alias("bar"))
         occurred = scratch.written(grown.groupBy(*M.KEY, "direction", "names", "families").agg(F.min("bar").alias("bar")), "beam")
-    return found
+    if found is None:
+        found = spark.createDataFrame([], beam.schema)
+    tested = scratch.written(tested.groupBy(*SERIES).agg(F.sum("n").alias("n_tested")), "tested")
+    return Search(found, tested, everywhere)
+
+
+NEXT = dict(zip(TIMEFRAMES, list(TIMEFRAMES)[1:]))
+
+
+def holds(patterns: DataFrame, flags: DataFrame) -> DataFrame:
+    """Where all primitives of each pattern hold: the columns of patterns and bar_idx. patterns: symbol, timeframe, pattern (names joined by &), direction, one row each."""
+    names = F.array_distinct(F.split("pattern", "&"))
+    wanted = patterns.select(*M.GROUP, F.size(names).alias("k"), F.explode(names).alias("primitive"))
+    hit = wanted.join(flags, [*SERIES, "primitive"]).groupBy(*M.GROUP, "k", "bar_idx").agg(F.count(F.lit(1)).alias("n")).where("n = k")
+    return hit.select(*M.GROUP, "bar_idx")
+
+
+def discover(flags: DataFrame, dim: DataFrame, labels: DataFrame, sizes: DataFrame, n_synthesis: int = 0, alpha: float = 0.05, coarse: tuple[int, int] = (20, 10), **settings) -> DataFrame:
+    """The whole search, its false-discovery control and its confirmation: one row for each conjunction found, with what became of it.
+
+    1. Beam search over the first three quarters of each series. 2. Exact binomial p-values of the survivors against the least win rate that qualifies, accepted by step-up
+    control over all trials of the series: those of the search and n_synthesis, the conditions tried before it. 3. The last quarter must qualify by itself. 4. So must the whole history, by the gates of any pattern.
+    5. The same primitives on the next coarser candles of the symbol: coarse_* are null where that series isn't there, and no condition.
+
+    Columns: symbol, timeframe, pattern, direction, name, depth, worst_era_score, resolved, wins, n_tested, p_value, rank, threshold, accepted, confirm_*, full_*, coarse_*, discovered (accepted, confirmed and qualified).
+    Empty tables give no row.
+    """
+    s = searched(flags, dim, labels, sizes, **settings)
+    found = s.found.join(s.tested, SERIES).withColumn("n_tested", F.col("n_tested") + F.lit(n_synthesis))
+    found = found.withColumn("p_value", stats.binomial_p(F.col("wins"), F.col("resolved"), M.MIN_WIN_RATE)).withColumn("name", pattern_name(F.split("pattern", "&"), F.col("direction")))
+    found = scratch.written(stats.bh_accept(found, name="pattern", alpha=alpha, n_tested=F.col("n_tested"), by=tuple(SERIES)), "found")
+    t = scratch.written(holds(found, flags).join(labels, [*M.KEY, "direction"]), "found-trades")
+    measures = ["resolved", "win_rate", "oos_resolved", "oos_win_rate", "qualifies"]
+
+    def part(g: DataFrame, prefix: str) -> DataFrame:
+        return g.select(*M.GROUP, *[F.col(m).alias(f"{prefix}_{m}") for m in measures])
+
+    def gated(df: DataFrame, gates: tuple[int, int]) -> DataFrame:
+        return df.withColumn("min_resolved", F.lit(gates[0])).withColumn("min_oos", F.lit(gates[1]))
+
+    confirmed, full = part(confirmation(gated(t, (0, 0)), sizes), "confirm"), part(M.graded(gated(t, M.GATES)), "full")
+    following = F.create_map(*[F.lit(x) for pair in NEXT.items() for x in pair])
+    above = found.withColumn("fine", F.col("timeframe")).withColumn("timeframe", following[F.col("timeframe")]).where("timeframe is not null").select(*M.GROUP, "fine").join(sizes.select(*SERIES), SERIES)
+    upper = holds(above.select(*M.GROUP).distinct(), flags).join(labels, [*M.KEY, "direction"])
+    checked = above.join(part(M.graded(gated(upper, coarse)), "coarse"), M.GROUP, "left").withColumn("coarse_resolved", F.coalesce("coarse_resolved", F.lit(0))).withColumn("coarse_qualifies", F.coalesce("coarse_qualifies", F.lit(False)))
+    checked = checked.withColumnRenamed("timeframe", "coarse_timeframe").withColumnRenamed("fine", "timeframe")
+    out = found.join(confirmed, M.GROUP, "left").join(full, M.GROUP, "left").join(checked, M.GROUP, "left")
+    return out.withColumn("discovered", F.expr("accepted and coalesce(confirm_qualifies, false) and coalesce(full_qualifies, false)"))
+
+
+def active_on_last_bar(patterns: DataFrame, flags: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Those patterns (see holds) whose primitives all hold on the last bar of their series. flags may be of a tail of the bars, sizes of the same."""
+    return holds(patterns, flags).join(sizes, SERIES).where("bar_idx = n_bars - 1").select(*M.GROUP)
+
+
+def explored(s: Search, labels: DataFrame, least: int = 30) -> DataFrame:
+    """Every set of two primitives or more that a search tried, at each reward ratio of labels (rr; leave out trades with news before): the ratio of the best net expectancy among those with ``least`` resolved trades.
+
+    Columns: symbol, timeframe, pattern, direction, best_rr, best_net_r, tiers. Sets without such a ratio have no row.
+    """
+    return M.reward_grid(s.occurred.where("depth > 1").drop("depth").join(labels, [*M.KEY, "direction"]), least)
+
+
+def merge_explored(batches: list[DataFrame]) -> DataFrame:
+    """Batches of explored sets (searches with different seeds) as one: a set that several have counts once, with its best net expectancy; ties go to the lower ratio."""
+    both = batches[0]
+    for b in batches[1:]:
+        both = both.unionByName(b)
+    best = F.max(F.struct("best_net_r", (-F.col("best_rr")).alias("r"), "tiers"))
+    return both.groupBy(*M.GROUP).agg(best.alias("b")).select(*M.GROUP, (-F.col("b.r")).alias("best_rr"), "b.best_net_r", "b.tiers")
 
 
 def pattern_name(names: Column, direction: Column) -> Column:
@@ -74,7 +173,7 @@ def pattern_name(names: Column, direction: Column) -> Column:
 
 def confirmation(t: DataFrame, sizes: DataFrame, share: float = 0.75, least: tuple[int, int] = (20, 10)) -> DataFrame:
     """Statistics of what lies after the discovery part of each series."""
-    t = t.join(F.broadcast(sizes), SERIES).where(F.col("bar_idx") >= F.floor(F.col("n_bars") * share))
+    t = t.join(sizes, SERIES).where(F.col("bar_idx") >= F.floor(F.col("n_bars") * share))
     return M.graded(t.drop("n_bars", "min_resolved", "min_oos").withColumns({"min_resolved": F.lit(least[0]), "min_oos": F.lit(least[1])}))
 
 
@@ -191,14 +290,15 @@ def mann_whitney(trades: DataFrame, long: DataFrame, least: int = 15) -> DataFra
     t = trades.where("outcome <> 'unresolved'").select(*M.KEY, "pattern", "direction", (F.col("outcome") == "win").alias("won")).join(long, M.KEY)
     # equal values are one row with counts from here on, so ranks need no window over all rows of a tie
     v = t.groupBy(*keys, "value").agg(F.count_if("won").alias("w"), F.count_if(~F.col("won")).alias("l")).withColumn("t", F.col("w") + F.col("l"))
+    middles = lambda c: F.percentile("value", F.lit(0.5), F.col(c))
     below = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     v = v.withColumn("rank", F.coalesce(F.sum("t").over(below), F.lit(0)) + (F.col("t") + 1) / 2)
-    g = v.groupBy(*keys).agg(F.sum("w").alias("win_n"), F.sum("l").alias("loss_n"), F.sum(F.col("rank") * F.col("w")).alias("rank_sum"), F.sum(F.expr("cast(t as double) * t * t - t")).alias("ties"))
+    g = v.groupBy(*keys).agg(F.sum("w").alias("win_n"), F.sum("l").alias("loss_n"), F.sum(F.col("rank") * F.col("w")).alias("rank_sum"), F.sum(F.expr("cast(t as double) * t * t - t")).alias("ties"), middles("w").alias("win_median"), middles("l").alias("loss_median"))
     g = g.where(f"win_n >= {least} and loss_n >= {least}").withColumn("n", F.col("win_n") + F.col("loss_n"))
     g = g.withColumn("u", F.expr("rank_sum - win_n * (win_n + 1) / 2")).withColumn("deviation", F.expr("sqrt(cast(win_n as double) * loss_n / 12 * (n + 1 - ties / (cast(n as double) * (n - 1))))"))
     middle = F.expr("cast(win_n as double) * loss_n / 2")
     z = F.expr("greatest(abs(u - cast(win_n as double) * loss_n / 2) - 0.5D, 0) / nullif(deviation, 0)")
-    return g.withColumn("z", z * F.signum(F.col("u") - middle)).where("z is not null").select(*keys, "win_n", "loss_n", "u", "z")
+    return g.withColumn("z", z * F.signum(F.col("u") - middle)).where("z is not null").select(*keys, "win_n", "loss_n", "win_median", "loss_median", "u", "z")
 
 
 def autopsy(trades: DataFrame, long: DataFrame, alpha: float = 0.05, top: int = 10) -> DataFrame:
@@ -210,7 +310,7 @@ def autopsy(trades: DataFrame, long: DataFrame, alpha: float = 0.05, top: int =
 def spearman_by_era(long: DataFrame, labels: DataFrame, sizes: DataFrame, eras: int = 4, least: int = 20) -> DataFrame:
     """Per series, direction and feature: the least absolute rank correlation with winning over the eras of the discovery part; 0 for short or constant eras."""
     keys = [*SERIES, "direction", "feature", "era"]
-    t = labels.where("outcome <> 'unresolved'").select(*M.KEY, "direction", (F.col("outcome") == "win").cast("double").alias("y")).join(long, M.KEY).join(F.broadcast(sizes), SERIES)
+    t = labels.where("outcome <> 'unresolved'").select(*M.KEY, "direction", (F.col("outcome") == "win").cast("double").alias("y")).join(long, M.KEY).join(sizes, SERIES)
     t = t.withColumn("end", F.floor(F.col("n_bars") * 0.75)).where("bar_idx < end").withColumn("era", F.least(F.lit(eras - 1), F.floor(F.col("bar_idx") * eras / F.col("end"))).cast("int"))
 
     def averaged(x: str) -> Column:

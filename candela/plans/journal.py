@@ -38,7 +38,7 @@ def scorecard(journal: DataFrame, library: DataFrame) -> DataFrame:
     """Live results of each pattern, timeframe and direction, with its credibility against the library's win rate (pattern, timeframe, direction, mined_win_rate)."""
     n, wins = F.count(F.lit(1)), F.count_if(F.col("outcome") == "win")
     g = resolved(journal).groupBy(*GROUP).agg(n.alias("live_samples"), wins.alias("wins"), F.round(wins / n, 6).alias("live_win_rate"), F.round(F.sum("actual_r"), 6).alias("total_r"), F.round(F.sum("actual_r_after_costs"), 6).alias("total_r_after_costs"))
-    g = g.join(F.broadcast(library), GROUP, "left")  # a library has one row a pattern
+    g = g.join(library, GROUP, "left")
     c = F.col
     low, high = stats.wilson_lower(c("wins"), c("live_samples")), stats.wilson_upper(c("wins"), c("live_samples"))
     g = g.withColumn("wilson_low", low).withColumn("wilson_high", high).withColumn("label", _label(c("live_samples"), c("wilson_low"), c("wilson_high"), c("mined_win_rate")))
@@ -192,10 +192,9 @@ def volatility_shock(trades: DataFrame, bars: DataFrame) -> DataFrame:
 def calibration(scored: DataFrame, bins: int = 10) -> DataFrame:
     """Equal-width bins of probability over its range, right-closed: n, mean probability, win rate; and the Brier score over all. scored: p, won."""
     w = Window.partitionBy(F.lit(1))
-    lo, hi = scored.agg(F.min("p"), F.max("p")).first()
-    step = ((hi or 0.0) - (lo or 0.0)) / bins
-    k = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.ceil((F.col("p") - lo) / step) - 1)) if step else F.lit(0)
-    g = scored.withColumn("bin", k.cast("int")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p"), F.avg(F.col("won").cast("double")).alias("win_rate"), F.sum(F.pow(F.col("p") - F.col("won").cast("double"), F.lit(2))).alias("squares"))
+    span = scored.agg(F.min("p").alias("lo"), F.max("p").alias("hi")).withColumn("step", (F.col("hi") - F.col("lo")) / bins)
+    k = F.expr(f"if(step > 0, greatest(0, least({bins - 1}, ceil((p - lo) / step) - 1)), 0)")
+    g = scored.crossJoin(F.broadcast(span)).withColumn("bin", k.cast("int")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p"), F.avg(F.col("won").cast("double")).alias("win_rate"), F.sum(F.pow(F.col("p") - F.col("won").cast("double"), F.lit(2))).alias("squares"))
     return g.withColumn("brier", F.sum("squares").over(w) / F.sum("n").over(w)).drop("squares")
 
 

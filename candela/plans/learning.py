@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..sources import scratch
 from . import mining as M
 
 LABEL_WINDOW, EMBARGO = 61, 10
@@ -33,10 +34,14 @@ CHOICES = (Tree(2, 10), Tree(3, 10), Tree(4, 8))
 
 
 def purged_splits(n: int, window: int = LABEL_WINDOW, splits: int = 5, embargo: int = EMBARGO) -> Iterator[tuple[int, int, int]]:
-    """(train end, validation start, validation end) of each block of bars; training ends before any label could see the block. Blocks without training bars are skipped."""
-    size = n // splits
-    for i in range(splits):
-        start, stop = i * size, n if i == splits - 1 else (i + 1) * size
+    """(train end, validation start, validation end) of each block of bars; training ends before any label could see the block.
+
+    The first n // (splits + 1) bars are for training alone; blocks without training bars are skipped.
+    """
+    first = n // (splits + 1)
+    size = (n - first) // max(1, splits)
+    for i in range(splits if size > 0 else 0):
+        start, stop = first + i * size, n if i == splits - 1 else first + (i + 1) * size
         end = start - window - embargo
         if end > 0 and stop > start:
             yield end, start, stop
@@ -50,8 +55,8 @@ def dataset(features: DataFrame, labels: DataFrame, direction: int) -> DataFrame
 
 def usable(train: DataFrame, names: list[str]) -> list[str]:
     """Names of columns that have a value and vary in the training rows."""
-    row = train.agg(*[F.count(n).alias(n) for n in names]).first()
-    return [n for n in names if row[n] > 0]
+    row = train.agg(*[(F.min(n) < F.max(n)).alias(n) for n in names]).first()
+    return [n for n in names if row[n]]
 
 
 def fit(train: DataFrame, names: list[str], tree: Tree = Tree()) -> PipelineModel | None:
@@ -69,20 +74,17 @@ def scored(model: PipelineModel, rows: DataFrame) -> DataFrame:
 
 
 def out_of_fold(data: DataFrame, n_bars: int, names: list[str], tree: Tree = Tree(), splits: int = 5) -> DataFrame | None:
-    """Validation rows of all folds with p; None where no fold could be trained. One series."""
-    data = data.cache()
+    """Validation rows of all folds with p, written to the shared folder; None where no fold could be trained. One series; data should be a written table."""
     out = None
-    try:
-        for end, start, stop in purged_splits(n_bars, splits=splits):
-            train = data.where(F.col("bar_idx") < end)
-            model = fit(train, usable(train, names), tree)
-            if model is None:
-                continue
-            val = scored(model, data.where(F.col("bar_idx").between(start, stop - 1))).select(*M.KEY, "p", "y", "outcome", "net_r")
-            out = val if out is None else out.unionByName(val)
-        return out
-    finally:
-        data.unpersist()
+    for end, start, stop in purged_splits(n_bars, splits=splits):
+        train = data.where(F.col("bar_idx") < end)
+        known = usable(train, names)
+        model = fit(train, known, tree) if known else None
+        if model is None:
+            continue
+        val = scored(model, data.where(F.col("bar_idx").between(start, stop - 1))).select(*M.KEY, "p", "y", "outcome", "net_r")
+        out = val if out is None else out.unionByName(val)
+    return None if out is None else scratch.written(out, "folds")
 
 
 def quality(oof: DataFrame, threshold: float = 0.5) -> dict:

@@ -72,6 +72,11 @@ def trades(events: DataFrame, labels: DataFrame) -> DataFrame:
     return events.join(labels, KEY).where("hint = 0 or hint = direction")
 
 
+def _places(c: Column) -> Column:
+    """Six places; moved a little, so that a mean between two places goes the same way in every engine."""
+    return F.round(c + F.lit(1e-9), 6)
+
+
 def summary(prefix: str = "", only: Column | None = None) -> list[Column]:
     """Aggregates of a trade table: samples, resolved, wins, win_rate, ..., over the rows where ``only`` holds."""
     on = F.lit(True) if only is None else only
@@ -80,9 +85,9 @@ def summary(prefix: str = "", only: Column | None = None) -> list[Column]:
     rate = wins / F.nullif(n, F.lit(0))
     name = lambda c, x: c.alias(prefix + x)
     return [
-        name(F.count_if(on), "samples"), name(n, "resolved"), name(wins, "wins"), name(F.round(rate, 6), "win_rate"), name(F.round(stats.wilson_lower(wins, n), 6), "wilson_lower"),
-        name(F.round(rate * F.max("rr") - (1 - rate), 6), "expectancy_r"), name(F.round(F.avg(F.when(done, F.col("net_r"))), 6), "expectancy_net_r"),
-        name(F.round(F.avg(F.when(done, F.col("risk"))), 6), "avg_risk"), name(F.percentile(F.when(done, F.col("bars_to_resolve")), F.lit(0.5)), "median_bars"),
+        name(F.count_if(on), "samples"), name(n, "resolved"), name(wins, "wins"), name(_places(rate), "win_rate"), name(_places(stats.wilson_lower(wins, n)), "wilson_lower"),
+        name(_places(rate * F.max("rr") - (1 - rate)), "expectancy_r"), name(_places(F.avg(F.when(done, F.col("net_r")))), "expectancy_net_r"),
+        name(_places(F.avg(F.when(done, F.col("risk")))), "avg_risk"), name(F.percentile(F.when(done, F.col("bars_to_resolve")), F.lit(0.5)), "median_bars"),
     ]
 
 
@@ -91,8 +96,8 @@ def summary_sql(prefix: str = "", only: str = "true") -> str:
     n, wins = f"count(*) FILTER ({done})", f"count(*) FILTER ({won})"
     rate = f"({wins})::DOUBLE / nullif({n}, 0)"
     return (
-        f"count(*) FILTER ({only}) AS {prefix}samples, {n} AS {prefix}resolved, {wins} AS {prefix}wins, round({rate}, 6) AS {prefix}win_rate, round({stats.wilson_sql(wins, n)}, 6) AS {prefix}wilson_lower, "
-        f"round({rate} * max(rr) - (1 - {rate}), 6) AS {prefix}expectancy_r, round(avg(net_r) FILTER ({done}), 6) AS {prefix}expectancy_net_r, round(avg(risk) FILTER ({done}), 6) AS {prefix}avg_risk, "
+        f"count(*) FILTER ({only}) AS {prefix}samples, {n} AS {prefix}resolved, {wins} AS {prefix}wins, round({rate} + 1e-9, 6) AS {prefix}win_rate, round({stats.wilson_sql(wins, n)} + 1e-9, 6) AS {prefix}wilson_lower, "
+        f"round({rate} * max(rr) - (1 - {rate}) + 1e-9, 6) AS {prefix}expectancy_r, round(avg(net_r) FILTER ({done}) + 1e-9, 6) AS {prefix}expectancy_net_r, round(avg(risk) FILTER ({done}) + 1e-9, 6) AS {prefix}avg_risk, "
         f"quantile_cont(bars_to_resolve, 0.5) FILTER ({done}) AS {prefix}median_bars"
     )
 
@@ -121,8 +126,8 @@ SELECT * EXCLUDE (mr, mo), coalesce(resolved >= mr AND wins::DOUBLE / nullif(res
 
 
 def by_context(t: DataFrame, context: str) -> DataFrame:
-    """Statistics per pattern, direction and value of a context column; unknown values are left out."""
-    return t.where(F.col(context).isNotNull()).groupBy(*GROUP, context).agg(*summary())
+    """graded per value of a context column, each value with its own out-of-sample part and gates; unknown values are left out."""
+    return graded(t.where(F.col(context).isNotNull()), [context])
 
 
 def all_grains(t: DataFrame) -> DataFrame:
@@ -130,22 +135,22 @@ def all_grains(t: DataFrame) -> DataFrame:
     return t.groupingSets([[F.col(c) for c in GROUP], [F.col(c) for c in [*GROUP, "news"]], [F.col(c) for c in [*GROUP, "regime"]]], *[F.col(c) for c in [*GROUP, "news", "regime"]]).agg(F.grouping_id().cast("bigint").alias("grain"), *summary())
 
 
-def reward_grid(t: DataFrame) -> DataFrame:
-    """For each pattern and direction the reward ratio of the best net expectancy among those with 10 resolved trades or more."""
+def reward_grid(t: DataFrame, least: int = 10) -> DataFrame:
+    """For each pattern and direction the reward ratio of the best net expectancy among those with ``least`` resolved trades or more; ties go to the lower ratio."""
     g = t.groupBy(*GROUP, "rr").agg(F.count_if(F.col("outcome") != "unresolved").alias("resolved"), F.round(F.avg("net_r"), 6).alias("net"))
-    ok = g.where("resolved >= 10")
+    ok = g.where(F.col("resolved") >= least)
     return ok.groupBy(*GROUP).agg(F.max_by("rr", F.struct("net", -F.col("rr"))).alias("best_rr"), F.max("net").alias("best_net_r"), F.count(F.lit(1)).alias("tiers"))
 
 
-def era_scores(t: DataFrame, eras: int = 4, least: int = 20, sizes: DataFrame | None = None) -> DataFrame:
+def era_scores(t: DataFrame, eras: int = 4, least: int = 20, sizes: DataFrame | None = None, wins: bool = False) -> DataFrame:
     """Wilson lower bound per era of the discovery part (first three quarters of the bars), and the worst; an era below ``least`` resolved trades scores 0."""
     if sizes is not None:  # symbol, timeframe, n_bars; else the last bar of any trade ends the series
-        t, size = t.join(F.broadcast(sizes), ["symbol", "timeframe"]), F.col("n_bars")
+        t, size = t.join(sizes, ["symbol", "timeframe"]), F.col("n_bars")
     else:
         size = F.max("bar_idx").over(Window.partitionBy("symbol", "timeframe")) + 1
     t = t.withColumn("end", F.floor(size * 0.75)).where("bar_idx < end").withColumn("era", F.least(F.lit(eras - 1), F.floor(F.col("bar_idx") * eras / F.col("end"))).cast("int"))
     done, won = F.count_if(F.col("outcome") != "unresolved"), F.count_if(F.col("outcome") == "win")
     per = t.groupBy(*GROUP, "era").agg(done.alias("resolved"), won.alias("wins")).withColumn("score", F.when(F.col("resolved") < least, 0.0).otherwise(stats.wilson_lower(F.col("wins"), F.col("resolved"))))
-    return per.groupBy(*GROUP).agg(F.round(F.when(F.count(F.lit(1)) < eras, 0.0).otherwise(F.min("score")), 6).alias("worst_era_score"), F.count(F.lit(1)).alias("eras"), F.sum("resolved").alias("resolved"))
+    return per.groupBy(*GROUP).agg(F.round(F.when(F.count(F.lit(1)) < eras, 0.0).otherwise(F.min("score")), 6).alias("worst_era_score"), F.count(F.lit(1)).alias("eras"), F.sum("resolved").alias("resolved"), *([F.sum("wins").alias("wins")] if wins else []))
 
 

@@ -85,7 +85,10 @@ UNION ALL SELECT f1.symbol, f1.timeframe, f1.ts, bar_idx, pattern FROM ({C.flags
 _query("pattern_dim", lambda s, d: M.pattern_dim(s), M.dim_sql())
 _query("combo_pairs", lambda s, d: M.combo_pairs(M.pattern_dim(s)), M.pairs_sql())
 _both("fired_patterns", flags, FLAGS_SQL)
-_both("combo_events", lambda s, d, tf: M.combo_events(scratch.written(flags(s, d, tf), "fired"), M.combo_pairs(M.pattern_dim(s))), f"WITH f AS MATERIALIZED ({FLAGS_SQL}) SELECT a.symbol, a.timeframe, a.bar_idx, p.pattern, p.hint FROM f a JOIN f b USING (symbol, timeframe, bar_idx) JOIN ({M.pairs_sql()}) p ON p.a = a.pattern AND p.b = b.pattern")
+_both("combo_events", lambda s, d, tf: M.combo_events(scratch.written(flags(s, d, tf), "fired"), M.combo_pairs(M.pattern_dim(s))), f"""
+WITH f AS MATERIALIZED (SELECT symbol, timeframe, bar_idx, pattern, family_rank, hint FROM ({FLAGS_SQL}) f9 JOIN ({M.dim_sql()}) d9 USING (pattern))
+SELECT a.symbol, a.timeframe, a.bar_idx, 'combo__' || a.pattern || '__' || b.pattern AS pattern, CASE WHEN a.hint <> 0 THEN a.hint ELSE b.hint END AS hint
+FROM f a JOIN f b ON a.symbol = b.symbol AND a.timeframe = b.timeframe AND a.bar_idx = b.bar_idx AND a.family_rank < b.family_rank WHERE a.hint * b.hint >= 0""")
 
 
 def trades(spark, d, pairs: bool = False, ratios: tuple[float, ...] = (4.0,), timeframes: tuple[str, ...] = HOURLY) -> DataFrame:
@@ -111,21 +114,28 @@ _both("pattern_library", lambda s, d, tf: M.graded(trades(s, d, True, timeframes
 _both("trade_summary", lambda s, d, tf: trades(s, d, timeframes=tf).groupBy("pattern", "direction").agg(*M.summary()), f"SELECT pattern, direction, {M.summary_sql()} FROM ({trades_sql()}) t GROUP BY ALL", _MEASURES)
 
 
-def with_regime(spark, d, timeframes: tuple[str, ...] = HOURLY) -> DataFrame:
-    return trades(spark, d, timeframes=timeframes).join(resolve(bars(spark, d, timeframes), ["bar_idx", "combined_regime"]).select(*M.KEY, F.col("combined_regime").alias("regime")), M.KEY)
+def with_regime(spark, d, timeframes: tuple[str, ...] = HOURLY, pairs: bool = False) -> DataFrame:
+    """Trades with the regime of their entry bar, the one after the signal."""
+    at_entry = resolve(bars(spark, d, timeframes), ["bar_idx", "combined_regime"]).select("symbol", "timeframe", (F.col("bar_idx") - 1).alias("bar_idx"), F.col("combined_regime").alias("regime"))
+    return trades(spark, d, pairs, timeframes=timeframes).join(at_entry, M.KEY)
 
 
-_REGIME_SQL = f"SELECT t.*, r.combined_regime AS regime FROM ({trades_sql()}) t JOIN ({sql(bars_sql(), ['bar_idx', 'combined_regime'])}) r USING (symbol, timeframe, bar_idx)"
+_REGIME_SQL = f"""
+SELECT t.*, r.combined_regime AS regime FROM ({trades_sql()}) t
+JOIN ({sql(bars_sql(), ['bar_idx', 'combined_regime'])}) r ON r.symbol = t.symbol AND r.timeframe = t.timeframe AND r.bar_idx = t.bar_idx + 1
+"""
 _GROUP = ", ".join(M.GROUP)
-_both("by_regime", lambda s, d, tf: M.by_context(with_regime(s, d, tf), "regime"), f"SELECT {_GROUP}, regime, {M.summary_sql()} FROM ({_REGIME_SQL}) t WHERE regime IS NOT NULL GROUP BY ALL", _MEASURES)
+_both("by_regime", lambda s, d, tf: M.by_context(with_regime(s, d, tf), "regime"), M.graded_sql(f"SELECT * FROM ({_REGIME_SQL}) t WHERE regime IS NOT NULL", ["regime"]), _BOTH)
+QUERIES["library_by_regime_all"] = lambda s, d: rounded(M.by_context(with_regime(s, d, ALL, True), "regime"))
 _both("news_in_window", lambda s, d, tf: C.tag_news(trade_labels(bars(s, d, tf)), bars(s, d, tf), C.macro_events(s, d)).select("symbol", "timeframe", "bar_idx", "direction", "rr", "news"), f"SELECT symbol, timeframe, bar_idx, direction, rr, news FROM ({C.news_sql(labels_sql(bars_sql()), bars_sql())}) q")
 
 
-def with_news(spark, d, timeframes: tuple[str, ...] = HOURLY) -> DataFrame:
-    return C.tag_news(trades(spark, d, timeframes=timeframes), bars(spark, d, timeframes), C.macro_events(spark, d))
+def with_news(spark, d, timeframes: tuple[str, ...] = HOURLY, pairs: bool = False) -> DataFrame:
+    return C.tag_news(trades(spark, d, pairs, timeframes=timeframes), bars(spark, d, timeframes), C.macro_events(spark, d))
 
 
-_both("by_news", lambda s, d, tf: M.by_context(with_news(s, d, tf), "news"), f"SELECT {_GROUP}, news, {M.summary_sql()} FROM ({C.news_sql(trades_sql(), bars_sql())}) t GROUP BY ALL", _MEASURES)
+_both("by_news", lambda s, d, tf: M.by_context(with_news(s, d, tf), "news"), M.graded_sql(C.news_sql(trades_sql(), bars_sql()), ["news"]), _BOTH)
+QUERIES["library_by_news_all"] = lambda s, d: rounded(M.by_context(with_news(s, d, ALL, True), "news"))
 _both("grouping_sets_summary", lambda s, d, tf: M.all_grains(C.tag_news(with_regime(s, d, tf), bars(s, d, tf), C.macro_events(s, d))), f"SELECT {_GROUP}, news, regime, grouping({_GROUP}, news, regime) AS grain, {M.summary_sql()} FROM ({C.news_sql(_REGIME_SQL, bars_sql())}) t GROUP BY GROUPING SETS (({_GROUP}), ({_GROUP}, news), ({_GROUP}, regime))", _MEASURES)
 _both("rr_grid_expectancy", lambda s, d, tf: M.reward_grid(trades(s, d, ratios=GRID, timeframes=tf)), f"""
 WITH g AS (SELECT {_GROUP}, rr, count(*) FILTER (outcome <> 'unresolved') AS resolved, round(avg(net_r), 6) AS net FROM ({trades_sql(ratios=GRID)}) t GROUP BY ALL)
@@ -166,7 +176,7 @@ def spark_p(spark, d) -> DataFrame:
 
 
 # features
-_both("feature_table", lambda s, d, tf: X.features(bars(s, d, tf)).drop("bar_idx"), sql(bars_sql(), X.FEATURES), X.FEATURES, digits=4)
+_both("feature_table", lambda s, d, tf: X.features(bars(s, d, tf)).drop("bar_idx"), sql(bars_sql(), X.FEATURES), X.FEATURES, digits=9)
 _CTX = ["ctx_" + n.removeprefix("f_") for n in X.COARSE]
 _query("cross_timeframe_context", lambda s, d: X.coarser(select(market.candles(s, d, ("15min",)), ["close"]), market.candles(s, d, ("1h",)), 60), f"""
 SELECT f.symbol, f.timeframe, f.ts, f.close, {', '.join(f'c.{n} AS {x}' for n, x in zip(X.COARSE, _CTX))} FROM ({market.candles_sql(('15min',))}) f

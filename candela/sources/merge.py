@@ -56,8 +56,9 @@ def sanity(ticks: DataFrame, low: float = 200.0, high: float = 20_000.0, most: f
 
 
 def dedup_ticks(ticks: DataFrame) -> DataFrame:
-    """One mid per symbol and time, the least."""
-    return ticks.groupBy("symbol", "ts").agg(F.min("mid").alias("mid"))
+    """One tick per symbol and time, the one with the least mid, whole; ties by the other columns in their order."""
+    others = [c for c in ticks.columns if c not in ("symbol", "ts", "mid")]
+    return ticks.groupBy("symbol", "ts").agg(F.min(F.struct("mid", *others)).alias("t")).select("symbol", "ts", "t.*")
 
 
 def last_bar(bars: DataFrame) -> DataFrame:

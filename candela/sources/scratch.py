@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,18 +13,30 @@ _own: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """The named folder; only where none is set, as in tests, one of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="candela-")
-    return _own[app]
+    """The named folder, or the one that the context was given; an own temporary one only in local mode, as in tests."""
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or _own.get(context.applicationId)
+    if not at:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        at = _own[context.applicationId] = tempfile.mkdtemp(prefix="candela-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
+    return at.rstrip("/")
 
 
 def path(spark: SparkSession, name: str) -> str:
-    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path below the folder, removed when the application ends."""
+    at = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def clean() -> None:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(at)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session has ended; the folder's owner cleans up
+            pass
+
+    atexit.register(clean)
+    return at
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
