@@ -9,12 +9,18 @@ bound the memory of a Python worker; a single longer text gets a chunk of its ow
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 2_000_000
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+CHUNK = 500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _rng = np.random.default_rng(20240501)
@@ -68,13 +74,21 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[limits[0] : limits[-1]], limits - limits[0]
 
 
+def release() -> None:
+    """Gives freed memory back to the system; workers live on between tasks, and what they hold counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def chunks(limits: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with at most ``most`` bytes, or of one longer row."""
+    """Ranges of rows with at most ``most`` bytes, or of one longer row; memory is given back after the last."""
     at, n = 0, len(limits) - 1
     while at < n:
         to = max(at + 1, int(np.searchsorted(limits, limits[at] + most, "right")) - 1)
         yield at, min(to, n)
         at = to
+    release()
 
 
 def words(data: np.ndarray, limits: np.ndarray, split: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

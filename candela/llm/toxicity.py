@@ -114,6 +114,8 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> dict[
                 size += len(f)
         if rows:
             at, w, b = fit(rows, s)
+            rows.clear()
+            K.release()
             yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1], pa.int64()), pa.array([*w.tolist(), b], pa.float64())], names=["feature", "weight"])
 
     indexed = sample.mapInArrow(index, "h bigint, doc_id bigint, toxic int, x array<int>")
