@@ -27,7 +27,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Encoded pretokens that a worker keeps between batches, at most.
 CACHE = 150_000
 #: Pretokens in one index, at most; bounds its memory.
-INDEXED = 100_000
+INDEXED = 60_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -183,7 +183,7 @@ class Encoder:
         self.known: dict[str, int] = {}
         self.values, self.limits = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def __call__(self, texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    def __call__(self, texts: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, last row + 1, ids, limits by row) for runs of rows with about ``most`` bytes."""
         if len(self.known) > CACHE:
             self.known.clear()
