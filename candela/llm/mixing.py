@@ -92,12 +92,12 @@ def capped(sources: DataFrame, max_share: float) -> DataFrame:
     share = max(max_share, 1 / size["sources"])
     top = sources.orderBy(F.col("blocks").desc(), "source_key").limit(int(1 / share) + 1).collect()
     rest, k = size["all"], 0
-    while k < len(top) and 1 - k * share > 1e-9 and top[k]["blocks"] > share * rest / (1 - k * share):
+    while k < len(top) and 1 - k * share > 1e-9 and top[k]["blocks"] > share * rest / (1 - k * share) * (1 + 1e-9):
         rest -= top[k]["blocks"]
         k += 1
     if not k:
         return sources.withColumn("weight", F.col("blocks").cast("double"))
-    # all sources are above an equal share only if they are equal, so something is left
+    # of the sources that share all equally the last has just its share, so it isn't above it and something is left
     high = share * rest / (1 - k * share)
     return sources.withColumn("weight", F.when(F.col("source_key").isin([r["source_key"] for r in top[:k]]), F.lit(high)).otherwise(F.col("blocks").cast("double")))
 
@@ -171,7 +171,7 @@ sized AS (SELECT source_key, sum(blocks)::BIGINT AS blocks FROM shards GROUP BY
 ranked AS (SELECT *, row_number() OVER (ORDER BY blocks DESC, source_key) AS r, (sum(blocks) OVER ())::BIGINT AS everything, greatest({MAX_SHARE}::DOUBLE, 1::DOUBLE / count(*) OVER ()) AS share,
   (sum(blocks) OVER (ORDER BY blocks DESC, source_key ROWS UNBOUNDED PRECEDING))::BIGINT - blocks AS above FROM sized),
 levels AS (SELECT *, share * (everything - above) / (1 - (r - 1) * share) AS high, 1 - (r - 1) * share > 1e-9 AS possible FROM ranked),
-cut AS (SELECT coalesce(min(r) FILTER (NOT (possible AND blocks > high)), count(*) + 1) AS r FROM levels),
+cut AS (SELECT coalesce(min(r) FILTER (NOT (possible AND blocks > high * (1 + 1e-9))), count(*) + 1) AS r FROM levels),
 sources AS (SELECT source_key, blocks, CASE WHEN r < (SELECT r FROM cut) THEN (SELECT high FROM levels WHERE r = (SELECT r FROM cut)) ELSE blocks::DOUBLE END AS weight FROM levels),
 q1 AS (SELECT source_key, got, got = blocks AS lacking, weight / (2 * got + 1) AS quotient FROM (SELECT *, unnest(range(blocks + 1)) AS got FROM sources WHERE weight > 0)),
 placed1 AS (SELECT *, row_number() OVER (ORDER BY quotient DESC, source_key, got) AS place FROM q1),

@@ -548,7 +548,7 @@ def test_largest_mixture_like_brute_force(spark):
 
 
 def test_shares_of_large_sources_are_capped(spark):
-    for blocks, want in (([10, 10, 10, 10, 10], None), ([60, 10, 10, 10, 10], {"n0": 0.3 * 40 / 0.7}), ([60, 40, 5, 5, 5], {"n0": 0.3 * 15 / 0.4, "n1": 0.3 * 15 / 0.4}), ([7], None), ([9, 3], {"n0": 3.0})):
+    for blocks, want in (([10, 10, 10, 10, 10], None), ([60, 10, 10, 10, 10], {"n0": 0.3 * 40 / 0.7}), ([60, 40, 5, 5, 5], {"n0": 0.3 * 15 / 0.4, "n1": 0.3 * 15 / 0.4}), ([7], None), ([9, 3], {"n0": 3.0}), ([40, 40, 20], {"n0": 20.0, "n1": 20.0}), ([7, 7, 7], None)):
         names = [(f"n{i}", b) for i, b in enumerate(blocks)]
         got = {r.source_key: r.weight for r in mixing.capped(spark.createDataFrame(names, "source_key string, blocks bigint"), 0.3).collect()}
         assert got == pytest.approx({n: float(b) for n, b in names} | (want or {}))
