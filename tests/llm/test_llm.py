@@ -228,6 +228,54 @@ def test_near_links_are_counted_and_units_are_many(spark, monkeypatch):
     assert {r.group_id for r in out if r.doc_id < 30 or r.doc_id >= 60} == {0}
 
 
+def test_near_pairs_of_a_large_group_are_in_no_table(spark, monkeypatch):
+    """A group of n sets gives tables in proportion to n, with all links and as many units as blocks need."""
+    rng = random.Random(53)
+    base, passage = prose(rng, 40).split(), prose(rng, 30)
+    texts = [" ".join([*base[: k % 40], f"x{k}", f"y{k}", *base[k % 40 :]]) for k in range(400)]
+    texts += [prose(rng, 40) + " " + passage for _ in range(100)]  # long lists of sets that aren't alike
+    texts += [" ".join([*base[:39], "end", str(k), prose(rng, 30)]) for k in range(20)]  # half alike
+    rows, written = {}, near_dedup.shared.written
+
+    def counted(df, name, *a):
+        out = written(df, name, *a)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup.shared, "written", counted)
+    monkeypatch.setattr(near_dedup, "WIDE", 100, raising=False)
+    out = near_dedup.mark(documents(spark, list(enumerate(texts)))).select("row.doc_id", "group_id", "n_links").collect()
+    near = np.array([[i != j and jaccard(s, t) >= 0.5 for j, t in enumerate(texts)] for i, s in enumerate(texts)])
+    assert {r.doc_id: r.n_links for r in out} == dict(enumerate(near.sum(1))) and near.sum() / 2 > 50_000
+    root = list(range(len(texts)))
+    for i, j in sorted(zip(*np.nonzero(near))):  # the first of a group is linked to all, or to one that is
+        root[j] = min(root[i], root[j])
+    assert {r.doc_id: r.group_id for r in out} == dict(enumerate(root))
+    assert max(rows.values()) <= near_dedup.SKETCH * len(texts) and rows["candidates"] < len(texts), rows
+
+
+def test_near_units_count_what_sets_share(monkeypatch):
+    """Values pair by pair, in matrices and in both, in portions, against sets; and files of blocks."""
+    rng = random.Random(59)
+    held = [[set(rng.sample(range(50), rng.randrange(1, 25))) | {1 << 63} for _ in range(n)] for n in (9, 14)]
+    x, y = (near_dedup.Block.of(np.arange(len(b)), np.array([len(s) for s in b]), np.concatenate([np.array(sorted(s), np.uint64) for s in b])) for b in held)
+    for dense in (0, 20, 1000):
+        for columns, codes in ((3, 7), (1024, 1 << 21)):
+            for name, value in (("DENSE", dense), ("COLUMNS", columns), ("CODES", codes)):
+                monkeypatch.setattr(near_dedup, name, value)
+            assert near_dedup.in_common(x, y).tolist() == [[len(s & t) for t in held[1]] for s in held[0]]
+            assert near_dedup.in_common(x, x).tolist() == [[len(s & t) for t in held[0]] for s in held[0]]
+
+
+def test_near_blocks_are_read_as_written(tmp_path):
+    block = near_dedup.Block.of(np.array([5, -3]), np.array([2, 1]), np.array([7, (1 << 64) - 1, 7], np.uint64))
+    system, at = near_dedup.shared.file_system(str(tmp_path / "5"))
+    for _ in range(2):
+        block.write(system, at)
+    again = near_dedup.Block.read(system, at)
+    assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(block, again)) and len(list(tmp_path.iterdir())) == 1
+
+
 def near_key(t):
     return tuple(re.findall(r"[0-9a-z]+", t.lower()))
 
