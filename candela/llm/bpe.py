@@ -13,6 +13,7 @@ import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from . import textkit as K
 from .token_counts import PATTERN
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
-#: Encoded pretokens that a worker keeps between batches, at most.
+#: With more encoded pretokens than this, a worker forgets the less used half or more before the next run of rows.
 CACHE = 150_000
 #: Pretokens in one index, at most; bounds its memory.
 INDEXED = 60_000
@@ -174,36 +175,51 @@ def ragged(values: np.ndarray, limits: np.ndarray, which: np.ndarray) -> tuple[n
 
 
 class Encoder:
-    """Encodes batches of texts; keeps the pretokens that it has met, up to CACHE of them."""
+    """Encodes batches of texts; keeps the pretokens that it has met, about CACHE of them at most, however many a batch has."""
 
     def __init__(self, path: str, pattern: str = PATTERN):
         import regex
 
         self.v, self.split = vocabulary(path), regex.compile(pattern).findall
         self.known: dict[str, int] = {}
-        self.values, self.limits = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.values, self.limits, self.uses = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64)
 
     def __call__(self, texts: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, last row + 1, ids, limits by row) for runs of rows with about ``most`` bytes."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-            self.values, self.limits = np.zeros(0, np.int32), np.zeros(1, np.int64)
-        known, old = self.known, len(self.known)
-        runs = []
+        known, runs = self.known, []
         _, sizes = K.buffers(texts)
         for a, b in K.chunks(sizes, most):
-            numbers, counts = [], []
+            if not runs and len(known) > CACHE:
+                known = self._forget(CACHE // 2)
+            old, numbers, counts = len(known), [], []
             for i in range(a, b):
                 parts = self.split(texts[i].as_py() or "")
                 counts.append(len(parts))
                 numbers.append(np.fromiter((known.setdefault(p, len(known)) for p in parts), np.int32, len(parts)))
             runs.append((a, b, np.concatenate(numbers) if numbers else np.zeros(0, np.int32), np.array(counts, np.int64)))
-        if len(known) > old:
-            fresh = list(known)[old:]
-            for i in range(0, len(fresh), INDEXED):
-                values, limits = encode_pretokens(self.v, [p.encode() for p in fresh[i : i + INDEXED]])
-                self.values = np.concatenate([self.values, values])
-                self.limits = np.concatenate([self.limits, self.limits[-1] + limits[1:]])
+            if len(known) - (len(self.limits) - 1) + len(known) - old > INDEXED:  # one more such run wouldn't fit into an index
+                yield from self._put(runs)
+                runs = []
+        yield from self._put(runs)
+
+    def _forget(self, keep: int) -> dict[str, int]:
+        """Keeps the pretokens that were used most."""
+        kept = np.zeros(len(self.known), bool)
+        kept[np.argsort(-self.uses, kind="stable")[:keep]] = True
+        self.known = {p: i for i, p in enumerate(compress(self.known, kept.tolist()))}
+        self.values, sizes = ragged(self.values, self.limits, np.flatnonzero(kept))
+        self.limits, self.uses = np.concatenate([[0], np.cumsum(sizes)]), self.uses[kept]
+        return self.known
+
+    def _put(self, runs: list) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Encodes the pretokens that are new, and gives the runs."""
+        fresh = list(islice(self.known, len(self.limits) - 1, None))
+        for i in range(0, len(fresh), INDEXED):
+            values, limits = encode_pretokens(self.v, [p.encode() for p in fresh[i : i + INDEXED]])
+            self.values = np.concatenate([self.values, values])
+            self.limits = np.concatenate([self.limits, self.limits[-1] + limits[1:]])
+        old, self.uses = self.uses, np.bincount(np.concatenate([np.zeros(0, np.int32), *(numbers for _, _, numbers, _ in runs)]), minlength=len(self.known))
+        self.uses[: len(old)] += old
         for a, b, numbers, counts in runs:
             ids, sizes = ragged(self.values, self.limits, numbers)
             by_word = np.concatenate([[0], np.cumsum(sizes)])
@@ -223,6 +239,10 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, carr
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from encoded(batches)
+        K.release()  # the encoder and the last batch are gone by now
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(at_task(), pattern)
         for batch in batches:
             text = batch.column(1)

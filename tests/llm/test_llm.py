@@ -435,6 +435,22 @@ def test_pair_index_like_one_by_one():
         assert ids[limits[i] : limits[i + 1]].tolist() == bpe.encode_one(v, v.of_byte[np.frombuffer(w, np.uint8)].tolist())
 
 
+def test_bpe_forgets_and_gives_memory_back_within_a_batch(spark, monkeypatch):
+    """A batch of any number of different pretokens is encoded in parts, none of which keeps more than a few runs' worth."""
+    monkeypatch.setattr(bpe, "CACHE", 300)
+    monkeypatch.setattr(bpe, "INDEXED", 100)
+    rng = random.Random(37)
+    texts = [" ".join(str(rng.randrange(10**6)) for _ in range(20)) if i % 7 else None for i in range(400)]
+    encoder, reference = bpe.Encoder(bpe.VOCABULARY), token_counts.encoder(token_counts.VOCABULARY, token_counts.PATTERN)
+    most, got, runs = 0, [], 0
+    for a, b, ids, limits in encoder(pa.array(texts), 200):
+        assert a == len(got) and len(limits) == b - a + 1
+        got += [ids[x:y].tolist() for x, y in zip(limits, limits[1:])]
+        most, runs = max(most, len(encoder.known), len(encoder.limits)), runs + 1
+    assert got == [reference.encode_ordinary(t or "") for t in texts] and runs > 100
+    assert most < 300 + 100 + 2 * 45  # 7,000 if all are kept to the end of the batch
+
+
 # toxicity
 
 
