@@ -451,6 +451,21 @@ def test_bpe_forgets_and_gives_memory_back_within_a_batch(spark, monkeypatch):
     assert most < 300 + 100 + 2 * 45  # 7,000 if all are kept to the end of the batch
 
 
+def test_bpe_gives_rows_before_it_has_read_the_batch(monkeypatch):
+    """So a task's memory doesn't grow with the rows of its batch, as in the pipeline's last stage."""
+    monkeypatch.setattr(bpe, "INDEXED", 100)
+    encoder, read = bpe.Encoder(bpe.VOCABULARY), []
+    split = encoder.split
+    encoder.split = lambda t: read.append(t) or split(t)
+    rng = random.Random(41)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=9)) for _ in range(8)) for _ in range(500)]
+    given = 0
+    for _, b, _, _ in encoder(pa.array(texts), 100):
+        assert len(read) - given < 50  # all 500 if the batch is read first
+        given = b
+    assert given == len(read) == 500
+
+
 # toxicity
 
 
