@@ -140,6 +140,40 @@ def test_asof_both_ways(spark):
     assert ahead == {("a", 1): "x", ("a", 5): "x", ("a", 9): None, ("b", 5): "w", (None, 5): None, ("a", None): None}
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_fills_run_from_the_start_of_a_frame(spark):
+    """A frame up to the end of the partition is evaluated anew for each row."""
+    left, right = spark.createDataFrame([("a", 1)], "k string, t int"), spark.createDataFrame([("a", 5, "x")], "k string, u int, v string")
+    for direction in ("backward", "forward"):
+        assert "unboundedfollowing" not in plan_of(asof_join(left, right, ["k"], "t", "u", ["v"], direction)).lower()
+
+
+@pytest.mark.parametrize("sizes", [("1min", "5min", "15min", "1h", "4h", "1d"), ("5min", "4h"), ("1h",)])
+def test_candles_of_all_sizes_take_one_scan(spark, sizes):
+    from candela.sources import market
+
+    df = market.candles(spark, DATA, sizes)
+    assert plan_of(df).count("Relation [") == 1
+    one = {tf: plain(market.resample(market.ticks(spark, DATA), tf).toPandas()) for tf in sizes}
+    assert plain(df.toPandas()) == sorted(r for rows in one.values() for r in rows)
+
+
+def test_candles_of_unusual_ticks(spark, tmp_path):
+    """Equal times, no type, no volume, no value; times with a zone."""
+    from candela.sources import market
+
+    rows = [(1, f"2024-01-01 {t}", u, e, v, p) for t, u, e, v, p in [("00:00:01", 1, "a", 5.0, '{"k": 3}'), ("00:00:01", 1, "b", 4.0, '{"k": 4}'), ("00:00:59.9", 1, None, 9.0, None), ("00:01:00", 1, "a", 2.0, "{}"), ("03:59:59", 1, "a", None, '{"k": 1}'), ("04:00:00", 1, "b", 7.0, '{"k": 2}'), ("23:59:59", 1, "a", 1.0, '{"k": 9}')]]
+    for kind in ("timestamp_ntz", "timestamp"):
+        at = f"{tmp_path}/{kind}"
+        spark.createDataFrame(rows, "event_id int, ts string, user_id int, event_type string, value double, props string").withColumn("ts", F.col("ts").cast(kind)).write.parquet(f"{at}/events.parquet")
+        df = market.candles(spark, at, ("1min", "1h", "4h", "1d"))
+        one = [r for tf in ("1min", "1h", "4h", "1d") for r in plain(market.resample(market.ticks(spark, at), tf).toPandas())]
+        assert plain(df.toPandas()) == sorted(one) and len(one) > 10
+
+
 def test_upsert_gaps_and_updates(spark):
     a, b = candles(spark, [(1, 1, 1, 1)] * 3), candles(spark, [(2, 2, 2, 2)] * 4, source="mt_broker")
     for both in (a.unionByName(b), b.unionByName(a)):
