@@ -174,6 +174,17 @@ def test_candles_of_unusual_ticks(spark, tmp_path):
         assert plain(df.toPandas()) == sorted(one) and len(one) > 10
 
 
+def test_bars_are_resampled_once_a_query(spark, monkeypatch):
+    from candela.plans import mining_queries as Q
+
+    made, whole = [], Q.bars
+    monkeypatch.setattr(Q, "bars", lambda *a: made.append(a) or whole(*a))
+    for name in ("by_news", "by_regime", "grouping_sets_summary", "news_in_window", "rr_grid_expectancy"):
+        made.clear()
+        read = plan_of(Q.QUERIES[name](spark, DATA))
+        assert len(made) == 1 and not any(f"/{t}.parquet" in read for t in ("events", "lineitem", "orders")), name
+
+
 def test_upsert_gaps_and_updates(spark):
     a, b = candles(spark, [(1, 1, 1, 1)] * 3), candles(spark, [(2, 2, 2, 2)] * 4, source="mt_broker")
     for both in (a.unionByName(b), b.unionByName(a)):
