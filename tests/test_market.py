@@ -513,3 +513,17 @@ def test_calibration_and_whole_ticks(spark):
 def test_constant_columns_are_left_out(spark):
     df = spark.createDataFrame([(1.0, None, 2.0), (1.0, None, 3.0)], "a double, b double, c double")
     assert L.usable(df, ["a", "b", "c"]) == ["c"] and L.usable(df.where("false"), ["a"]) == []
+
+
+@pytest.mark.parametrize("trades", ["none", "one outcome", "both"])
+def test_learning_from_any_outcomes(spark, monkeypatch, trades):
+    """Over sf0.1 no trade of the daily series resolves; one outcome gives nothing to tell apart."""
+    from candela.plans import live_queries as Q
+
+    rng = random.Random(2)
+    rows = [("S", "1d", i, *(rng.random() for _ in Q.NAMES), float(trades == "both" and rng.random() < 0.5), "win", 1.0) for i in range(400)]
+    data = spark.createDataFrame(rows if trades != "none" else [], "symbol string, timeframe string, bar_idx bigint, " + ", ".join(f"{n} double" for n in Q.NAMES) + ", y double, outcome string, net_r double")
+    monkeypatch.setattr(Q, "training_data", lambda *a: (data, 400))
+    folds, rules = Q.purged_cv_gbt(spark, DATA), Q.distilled_rules(spark, DATA)
+    assert folds.columns == ["symbol", "timeframe", "bar_idx", "p", "y", "outcome", "net_r"] and rules.columns == ["line", "rule", "fidelity"]
+    assert (folds.count() > 0, rules.count() > 0) == ((trades == "both",) * 2)
