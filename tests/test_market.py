@@ -527,3 +527,31 @@ def test_learning_from_any_outcomes(spark, monkeypatch, trades):
     folds, rules = Q.purged_cv_gbt(spark, DATA), Q.distilled_rules(spark, DATA)
     assert folds.columns == ["symbol", "timeframe", "bar_idx", "p", "y", "outcome", "net_r"] and rules.columns == ["line", "rule", "fidelity"]
     assert (folds.count() > 0, rules.count() > 0) == ((trades == "both",) * 2)
+
+
+def test_sliding_quantiles_are_those_of_spark(spark):
+    """With unknown and equal values, in two series; both kinds of frame."""
+    from candela.functions import registry as R
+
+    rng = random.Random(4)
+    names = []
+    for k, (rows, end, least, q) in enumerate([(200, "1 PRECEDING", 30, 0.9), (200, "1 PRECEDING", 30, 0.3), (249, "CURRENT ROW", 125, 0.5), (19, "CURRENT ROW", 1, 0.7)]):
+        f = f"({R.W} ROWS BETWEEN {rows} PRECEDING AND {end})"
+        names += [R.define(f"test_q{x}_{k}", f"CASE WHEN count({x}) OVER {f} >= {least} THEN QUANTILE({x}, {q}) OVER {f} END") for x in ("u", "close")]
+    b = candles(spark, walk(600, 2)).unionByName(candles(spark, walk(90, 3), symbol="Y"))
+    df = spark.createDataFrame([(*r, rng.choice([None, *map(float, range(9))])) for r in b.collect()], CANDLE + ", u double")
+    got = resolve(df, names)
+    assert "percentile" not in plan_of(got)
+    want = df.withColumns({n: F.expr(R.spark_sql(R.EXPRESSIONS[n])) for n in names})
+    key = lambda rows: {(r.symbol, r.ts): [r[n] for n in names] for r in rows.collect()}
+    assert key(got) == key(want) and sum(v is not None for row in key(want).values() for v in row) > 3000
+    for n in names:
+        del R.EXPRESSIONS[n]
+
+
+def test_quantiles_of_queries_are_computed_by_series():
+    from candela.functions import registry as R
+
+    for e in (D.Expression("close", "mean", 5, True, 0.9), D.Expression("returns", "zscore", 20, False, 0.6)):
+        e.defined()
+    assert all(R._apart(e) for e in R.EXPRESSIONS.values() if "QUANTILE(" in e)
