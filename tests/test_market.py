@@ -555,3 +555,14 @@ def test_quantiles_of_queries_are_computed_by_series():
     for e in (D.Expression("close", "mean", 5, True, 0.9), D.Expression("returns", "zscore", 20, False, 0.6)):
         e.defined()
     assert all(R._apart(e) for e in R.EXPRESSIONS.values() if "QUANTILE(" in e)
+
+
+def test_series_are_made_in_few_narrow_rounds(spark, monkeypatch):
+    """Recursive means of recursive means take two rounds, which carry no pattern."""
+    from candela.functions import registry as R
+
+    rounds, made = [], R.by_series
+    monkeypatch.setattr(R, "by_series", lambda df, columns: rounds.append((set(df.columns), set(columns))) or made(df, columns))
+    assert set(B.BAR_PATTERNS) <= set(resolve(candles(spark, walk(30)), ["bar_idx", *B.BAR_PATTERNS]).columns)
+    assert [new for _, new in rounds] == [{"ema_12", "ema_26", "smooth_tr", "smooth_plus", "smooth_minus"}, {"macd_signal", "adx"}]
+    assert not any({*B.BAR_PATTERNS, "sma_50", "swing_high"} & before for before, _ in rounds)
